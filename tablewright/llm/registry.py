@@ -17,7 +17,9 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_token_planes": op1_token_planes}
+    from .simhash import op2_simhash
+
+    return {"op1_token_planes": op1_token_planes, "op2_simhash": op2_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
