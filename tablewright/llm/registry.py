@@ -17,10 +17,17 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from .decontaminate import op10_decontaminate
     from .simhash import op2_simhash
 
-    return {"op1_token_planes": op1_token_planes, "op2_simhash": op2_simhash}
+    return {
+        "op1_token_planes": op1_token_planes,
+        "op2_simhash": op2_simhash,
+        "op10_decontaminate": op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontaminate
+
+    return {"op10_decontaminate": decontaminate.ORACLE}
