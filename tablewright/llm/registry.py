@@ -18,11 +18,13 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     from .decontaminate import op10_decontaminate
+    from .quality_cnn import op5_quality_cnn
     from .simhash import op2_simhash
 
     return {
         "op1_token_planes": op1_token_planes,
         "op2_simhash": op2_simhash,
+        "op5_quality_cnn": op5_quality_cnn,
         "op10_decontaminate": op10_decontaminate,
     }
 
