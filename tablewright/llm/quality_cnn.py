@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bound_batches, documents, table
 
@@ -168,7 +169,7 @@ def quality_scores(docs: DataFrame, net: Network) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     held, at = spark.sparkContext.broadcast(net), docs.columns.index("text")
-    schema = docs.schema.add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     names = schema.names
 
     def run(batches):
