@@ -18,6 +18,7 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     from .decontaminate import op10_decontaminate
+    from .mixing import op9_mixing
     from .quality_cnn import op5_quality_cnn
     from .simhash import op2_simhash
 
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op1_token_planes": op1_token_planes,
         "op2_simhash": op2_simhash,
         "op5_quality_cnn": op5_quality_cnn,
+        "op9_mixing": op9_mixing,
         "op10_decontaminate": op10_decontaminate,
     }
 
