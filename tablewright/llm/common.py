@@ -81,3 +81,14 @@ def ascii_lower(column):
     """Lower-case A-Z only. Texts of ASCII alone take the faster built-in, which then does the same."""
     c = F.col(column) if isinstance(column, str) else column
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def text_print(column: str = "text"):
+    """With doc_id, what tells rows apart: a hash of the text and its length."""
+    return F.xxhash64(column, F.length(column))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, print) isn't in ``keys``, a stored table; null ids match null ids."""
+    k = sized(keys.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")))
+    return docs.join(k, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_print() == F.col("__print")), "left_anti")

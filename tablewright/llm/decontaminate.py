@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, documents, sized, stored, table
+from .common import BROADCAST_ROWS, ascii_lower, documents, sized, stored, table, text_print
 
 WINDOW = 10
 #: Everything but digits, a-z and characters beyond ASCII.
@@ -75,7 +75,8 @@ def _shuffled(worded: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """A row for every row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """A row for every row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
+    print (a hash of the text).
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored. A null or empty
     text has no words and no hits; an item without words is never found. Rows that repeat an id are
@@ -83,7 +84,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     empty result or documents without hits. ``items`` is broadcast only after a count; beyond the
     bound the same join shuffles by token.
     """
-    worded = docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("print"), words("text").alias("words"))
+    worded = docs.select("doc_id", text_print().alias("print"), words("text").alias("words"))
     index = stored(item_index(items, worded, size), "item-index")
     small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = _beside(worded, index) if small else _shuffled(worded, index)
@@ -116,12 +117,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "print",
         F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("print")
 
 
 ORACLE = r"""

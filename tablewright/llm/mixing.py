@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stored, table
+from .common import documents, stored, table, text_print
 
 #: Labelled rows of each domain that the classifier is fitted on at most (those of the least hash).
 DOMAIN_ROWS = 3000
@@ -33,7 +33,7 @@ TARGETS = {"clean": 0.9, "junk": 0.03, "toxic": 0.07}
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, print (a hash of the text), words. Null texts have no words."""
     split = F.array_remove(F.split("text", SPACE), "")
-    return docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("print"), F.coalesce(split, F.array().cast("array<string>")).alias("words"))
+    return docs.select("doc_id", text_print().alias("print"), F.coalesce(split, F.array().cast("array<string>")).alias("words"))
 
 
 def _bucket(word) -> F.Column:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, stored
+from .common import bound_batches, documents, stored, text_print
 from .components import components
 
 SEED = 42
@@ -51,15 +51,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp. A null text has no words."""
+    """doc_id, print (a hash of the text), fp. A null text has no words."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "print", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", text_print().alias("print"), "text").mapInArrow(run, "doc_id long, print long, fp long")
 
 
 def shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -128,21 +128,23 @@ def _pairs(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, print, fp, component_id, stays for every row of ``docs`` (doc_id, text; others are ignored).
 
     Texts without words (null, empty, white space) have fingerprint 0 and link like any other. The
     component id is the least doc_id reachable over links of at most three bits; null ids don't
-    count, and a component of null ids alone has none. Repeated rows give repeated results; an
-    empty table gives an empty result.
+    count, and a component of null ids alone has none. ``stays`` marks the row to keep of each
+    component: that of the least doc_id, then of the least hash of the text. Repeated rows give
+    repeated results; an empty table gives an empty result.
     """
     prints = stored(fingerprints(docs), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+    distinct = stored(prints.groupBy("fp").agg(F.min(own).alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(groups, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    groups = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    classes = stored(rooted.join(groups, "root").select("fp", "first"), "classes")
+    return prints.join(classes, "fp").select("doc_id", "print", "fp", F.col("first.doc_id").alias("component_id"), (own == F.col("first")).alias("stays"))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
