@@ -20,18 +20,22 @@ def queries() -> dict:
     from .decontaminate import op10_decontaminate
     from .mixing import op9_mixing
     from .quality_cnn import op5_quality_cnn
+    from .token_counts import op6_token_counts
+    from .url_rules import op8_url_rules
     from .simhash import op2_simhash
 
     return {
         "op1_token_planes": op1_token_planes,
         "op2_simhash": op2_simhash,
         "op5_quality_cnn": op5_quality_cnn,
+        "op6_token_counts": op6_token_counts,
+        "op8_url_rules": op8_url_rules,
         "op9_mixing": op9_mixing,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate
+    from . import decontaminate, url_rules
 
-    return {"op10_decontaminate": decontaminate.ORACLE}
+    return {"op8_url_rules": url_rules.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
