@@ -17,6 +17,8 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from .chat_format import op3_chat_format
+    from .license_scan import op4_license_scan
     from .decontaminate import op10_decontaminate
     from .mixing import op9_mixing
     from .quality_cnn import op5_quality_cnn
@@ -27,6 +29,8 @@ def queries() -> dict:
     return {
         "op1_token_planes": op1_token_planes,
         "op2_simhash": op2_simhash,
+        "op3_chat_format": op3_chat_format,
+        "op4_license_scan": op4_license_scan,
         "op5_quality_cnn": op5_quality_cnn,
         "op6_token_counts": op6_token_counts,
         "op8_url_rules": op8_url_rules,
@@ -36,6 +40,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, url_rules
+    from . import chat_format, decontaminate, license_scan, url_rules
 
-    return {"op8_url_rules": url_rules.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op3_chat_format": chat_format.ORACLE, "op4_license_scan": license_scan.oracle(), "op8_url_rules": url_rules.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
