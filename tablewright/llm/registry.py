@@ -20,6 +20,7 @@ def queries() -> dict:
     from .chat_format import op3_chat_format
     from .license_scan import op4_license_scan
     from .decontaminate import op10_decontaminate
+    from .media import op7_media_jpeg
     from .mixing import op9_mixing
     from .quality_cnn import op5_quality_cnn
     from .token_counts import op6_token_counts
@@ -33,6 +34,7 @@ def queries() -> dict:
         "op4_license_scan": op4_license_scan,
         "op5_quality_cnn": op5_quality_cnn,
         "op6_token_counts": op6_token_counts,
+        "op7_media_jpeg": op7_media_jpeg,
         "op8_url_rules": op8_url_rules,
         "op9_mixing": op9_mixing,
         "op10_decontaminate": op10_decontaminate,
