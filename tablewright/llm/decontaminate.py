@@ -25,8 +25,17 @@ def words(column) -> F.Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(column), BETWEEN), ""), F.array().cast("array<string>"))
 
 
+def _around(array: str, at, size) -> tuple[F.Column, F.Column]:
+    """The words of all windows of ``size`` over place ``at``, and the place of the first of them."""
+    start = F.greatest(at - size + 1, F.lit(0))
+    return F.slice(F.col(array), start + 1, 2 * size - 1), start
+
+
 def item_index(items: DataFrame, docs_words: DataFrame, size: int = WINDOW) -> DataFrame:
-    """token, item_id, item_words, at, size: the places of items that are the rarest word of some window.
+    """The places of items that are the rarest word of some window.
+
+    token, item_id, at (its place), size (of the windows), n_item (words of the item), before and
+    after (the words beside the token), item_part and item_start (the words of all its windows).
 
     Rarity is the number of occurrences over all documents; ties go to the earlier word in order of the
     alphabet, then to the first place, so that one token stands for each window.
@@ -41,37 +50,47 @@ def item_index(items: DataFrame, docs_words: DataFrame, size: int = WINDOW) -> D
     # The rarest of each window, then each such place once.
     best = F.min(F.struct("n", "token", "at")).over(item.rowsBetween(0, size - 1))
     whole = ranked.withColumn("best", best).where(F.col("at") + F.col("size") <= F.size("item_words"))
-    return whole.select("item_id", "item_words", "size", F.col("best.at").alias("at"), F.col("best.token").alias("token")).distinct()
+    once = whole.select("item_id", "item_words", "size", F.col("best.at").alias("at"), F.col("best.token").alias("token")).distinct()
+    part, start = _around("item_words", F.col("at"), F.col("size"))
+    before, after = F.when(F.col("at") > 0, F.get("item_words", F.col("at") - 1)), F.get("item_words", F.col("at") + 1)
+    return once.select("token", "item_id", "at", "size", F.size("item_words").alias("n_item"), before.alias("before"), after.alias("after"), part.alias("item_part"), start.alias("item_start"))
 
 
 def _near(before, after) -> F.Column:
     """A window of several words holds a neighbour of its token, and it must agree."""
-    i = F.col("item_words")
-    agrees = lambda word, by: F.coalesce(word == F.get(i, F.col("at") + by), F.lit(False))
-    return (F.col("size") == 1) | ((F.col("at") > 0) & agrees(before, -1)) | agrees(after, 1)
+    agrees = lambda word, other: F.coalesce(word == F.col(other), F.lit(False))
+    return (F.col("size") == 1) | agrees(before, "before") | agrees(after, "after")
 
 
 def _beside(worded: DataFrame, index: DataFrame) -> DataFrame:
     """Candidates by a broadcast index: no document word is shuffled.
 
-    A null token closes each document: its place is the number of words, and the left join keeps it.
+    A null word closes each document: its place is the number of words, and the left join keeps it.
+    Generation, join, filter and the cut of the words around a candidate run in one generated stage,
+    which hands on candidates alone.
     """
     closed = worded.select("doc_id", "print", "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
     near = _near(F.when(F.col("pos") > 0, F.get("words", F.col("pos") - 1)), F.get("words", F.col("pos") + 1))
     found = closed.join(F.broadcast(index), (F.col("word") == F.col("token")) & near, "left").where("word is null or token is not null")
-    return found.withColumn("close", F.col("word").isNull())
+    return _cut(found, F.col("word").isNull())
 
 
 def _shuffled(worded: DataFrame, index: DataFrame) -> DataFrame:
     """The same by a shuffle of (document, place, word, neighbours) by word; the texts join the candidates only."""
     before, after = F.when(F.col("pos") > 0, F.get("words", F.col("pos") - 1)), F.get("words", F.col("pos") + 1)
     placed = worded.select("doc_id", "print", "words", F.posexplode("words").alias("pos", "word"))
-    light = placed.select("doc_id", "print", "pos", "word", before.alias("before"), after.alias("after"))
-    hits = light.join(index, (F.col("word") == F.col("token")) & _near(F.col("before"), F.col("after"))).drop("before", "after", "word", "token").distinct()
+    light = placed.select("doc_id", "print", "pos", "word", before.alias("word_before"), after.alias("word_after"))
+    hits = light.join(index, (F.col("word") == F.col("token")) & _near(F.col("word_before"), F.col("word_after"))).drop("word_before", "word_after", "word").distinct()
     texts = worded.dropDuplicates(["doc_id", "print"]).select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "words")
-    open_ = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("doc_id", "print", "words", "pos", "item_id", "item_words", "size", "at", F.lit(False).alias("close"))
-    none = {c: F.lit(None).cast(dict(open_.dtypes)[c]).alias(c) for c in ("item_id", "item_words", "size", "at")}
-    return open_.unionByName(worded.select("doc_id", "print", "words", F.size("words").alias("pos"), *none.values(), F.lit(True).alias("close")))
+    open_ = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).drop("d", "p")
+    kinds = dict(index.dtypes)
+    closed = worded.select("doc_id", "print", "words", F.size("words").alias("pos"), *[F.lit(None).cast(kinds[c]).alias(c) for c in index.columns])
+    return _cut(open_, F.lit(False)).unionByName(_cut(closed, F.lit(True)))
+
+
+def _cut(found: DataFrame, close: F.Column) -> DataFrame:
+    part, start = _around("words", F.col("pos"), F.col("size"))
+    return found.select("doc_id", "print", "pos", close.alias("close"), F.size("words").alias("n_doc"), part.alias("part"), start.alias("start"), "item_id", "at", "size", "n_item", "item_part", "item_start")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -79,35 +98,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     print (a hash of the text).
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored. A null or empty
-    text has no words and no hits; an item without words is never found. Rows that repeat an id are
-    judged apart if their texts differ, and repeated rows get equal results. Empty tables give an
-    empty result or documents without hits. ``items`` is broadcast only after a count; beyond the
-    bound the same join shuffles by token.
+    text has no words and no hits; an item without words is never found, and one without an id marks
+    words but isn't named. Rows that repeat an id are judged apart if their texts differ, and repeated
+    rows get equal results. Empty tables give an empty result or documents without hits. The index is
+    broadcast only after a count; beyond the bound the same join shuffles by token.
     """
     worded = docs.select("doc_id", text_print().alias("print"), words("text").alias("words"))
     index = stored(item_index(items, worded, size), "item-index")
     small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = _beside(worded, index) if small else _shuffled(worded, index)
-    d, i = F.col("words"), F.col("item_words")
-    first = F.greatest(F.lit(0), F.col("at") - F.col("size") + 1, F.col("at") - F.col("pos"))
-    last = F.least(F.col("at"), F.size(i) - F.col("size"), F.col("at") - F.col("pos") + F.size(d) - F.col("size"))
-    starts = F.when(F.col("item_words").isNotNull() & (first <= last), F.sequence(first, last))
-    held = F.filter(starts, lambda s: F.slice(d, F.col("pos") - F.col("at") + s + 1, F.col("size")) == F.slice(i, s + 1, F.col("size")))
-    verified = found.select("doc_id", "print", "pos", "close", "item_id", "size", "at", held.alias("held")).where(F.col("close") | (F.size("held") > 0))
-    # Windows of one place overlap: their words run from the first window's start to the last one's end.
-    spans = F.when(~F.col("close"), F.flatten(F.transform("held", lambda s: F.sequence(F.col("pos") - F.col("at") + s, F.col("pos") - F.col("at") + s + F.col("size") - 1))))
-    rows = verified.select("doc_id", "print", "pos", "close", "item_id", F.explode_outer(F.array_distinct(spans)).alias("word"))
+    pos, at, width = F.col("pos"), F.col("at"), F.col("size")
+    first = F.greatest(F.lit(0), at - width + 1, at - pos)
+    last = F.least(at, F.col("n_item") - width, at - pos + F.col("n_doc") - width)
+    starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    held = F.filter(starts, lambda s: F.slice("part", pos - at + s - F.col("start") + 1, width) == F.slice("item_part", s - F.col("item_start") + 1, width))
+    # Windows of one place overlap or touch: their words, each once. -1 stands for the document itself.
+    spans = F.array_distinct(F.flatten(F.transform(held, lambda s: F.sequence(pos - at + s, pos - at + s + width - 1))))
+    rows = found.select("doc_id", "print", "pos", "close", "item_id", F.explode(F.when(F.col("close"), F.array(F.lit(-1))).otherwise(spans)).alias("word"))
     key = ["doc_id", "print"]
     distinct = rows.groupBy(*key, "close", "item_id", "word").agg(F.max("pos").alias("pos"), F.count("*").alias("n"))
-    per_item = distinct.groupBy(*key, "item_id").agg(
+    of_doc = distinct.groupBy(*key).agg(
         F.max(F.when(F.col("close"), F.col("pos"))).alias("n_words"),
         F.max(F.when(F.col("close"), F.col("n"))).alias("copies"),
-        F.collect_set("word").alias("hit"),
-    )
-    of_doc = per_item.groupBy(*key).agg(
-        F.max("n_words").alias("n_words"),
-        F.max("copies").alias("copies"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
+        F.count_distinct(F.when(~F.col("close"), F.col("word"))).alias("n_hit"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
     return of_doc.select(
