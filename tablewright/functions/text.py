@@ -169,10 +169,12 @@ def reference_mentions(c: Column | str) -> Column:
     """array<struct<kind, phrase>>: each distinct pointing phrase, by kind, then by its first place."""
     text = normalize_text(c)
     pointer = "|".join(POINTERS)
-    per_kind = [
-        F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)(?:{pointer})\s*(?:{'|'.join(words)})"), F.lit(0))), lambda p, kind=kind: F.struct(F.lit(kind).alias("kind"), normalize_text(p).alias("phrase")))
-        for kind, words in MENTIONED
-    ]
+
+    def found(kind: str, words: list[str]) -> Column:
+        phrases = F.regexp_extract_all(text, F.lit(rf"(?i)(?:{pointer})\s*(?:{'|'.join(words)})"), F.lit(0))
+        return F.transform(F.array_distinct(phrases), lambda p: F.struct(F.lit(kind).alias("kind"), normalize_text(p).alias("phrase")))
+
+    per_kind = [found(kind, words) for kind, words in MENTIONED]
     return F.array_distinct(F.concat(*per_kind))
 
 

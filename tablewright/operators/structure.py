@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import extract_text
 from ..functions.text import first_text, normalize_text, parse_number, slugify_name, unit_from_text
+from ..session import checkpointed
 
 # Fixed values.
 TABLE_TYPES = ["table", "simple_table", "complex_table"]
@@ -262,15 +263,20 @@ def narrative_tables(blocks: DataFrame, with_tables: DataFrame) -> Tables:
     return Tables(tables, kept, cells)
 
 
+def _cut_lineage(t: Tables) -> Tables:
+    """Each of the three is read several times by what follows."""
+    return Tables(*[checkpointed(d) for d in (t.tables, t.rows, t.cells)])
+
+
 def materialize_tables(blocks: DataFrame, parity: bool = False) -> Tables:
     """The whole of structuring: context, tables, merge, charts, narrative fallback, references."""
     from .references import reference_tables
 
     scope = ["task_id"] if parity or "input_index" not in blocks.columns else ["task_id", "input_index"]
-    ready = carry_context(block_texts(classify(blocks)), scope)
+    ready = checkpointed(carry_context(block_texts(classify(blocks)), scope))
     structured = merge_cross_page(normalize_tables(ready))
     charts = chart_tables(ready)
-    both = union_tables(structured, _shift(charts, 1_000_000))
+    both = _cut_lineage(union_tables(structured, _shift(charts, 1_000_000)))
     told = narrative_tables(ready, both.tables.select("task_id").distinct())
-    every = union_tables(both, told)
+    every = _cut_lineage(union_tables(both, told))
     return union_tables(every, reference_tables(ready, every))

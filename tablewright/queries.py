@@ -247,7 +247,7 @@ def ocr_repair_digits(spark, sf_dir):
 @query(f"SELECT l_orderkey, l_linenumber, {CENTS} AS value_cents, CASE WHEN l_linenumber % 3 = 2 THEN 'contextual_ocr_unit_suffix' ELSE 'contextual_unit_suffix' END AS reason FROM lineitem")
 def unit_suffix_repair(spark, sf_dir):
     k = F.col("l_linenumber") % 3
-    damaged = F.when(k == 0, F.concat("plain", F.lit(" Million"))).when(k == 1, F.concat("plain", F.lit("百万元"))).otherwise(F.concat(F.lit("O"), "plain", F.lit(" 人民币")))
+    damaged = F.when(k == 0, F.concat("plain", F.lit(" usd"))).when(k == 1, F.concat("plain", F.lit("百万元"))).otherwise(F.concat(F.lit("O"), "plain", F.lit(" 人民币")))
     df = lines(spark, sf_dir).withColumn("fix", repair.candidate(damaged, F.when(k == 0, "USD million").otherwise("单位 人民币百万元")))
     return df.where("fix is not null").select("l_orderkey", "l_linenumber", F.round(F.col("fix.value") * 100).cast("long").alias("value_cents"), F.col("fix.reason").alias("reason"))
 
@@ -438,7 +438,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Annual revenue' ELSE 'Oper
 def narrative_metrics(spark, sf_dir):
     o = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
     what = F.when(F.col("o_orderkey") % 2 == 0, "annual revenue").otherwise("operating income")
-    said = F.concat(F.lit("We had approximately $"), F.round("o_totalprice").cast("long").cast("string"), F.lit(" Bilion in "), what, F.when(F.col("o_orderkey") % 3 != 0, F.lit(", increased ")).otherwise(F.lit(", down ")), (F.col("o_orderkey") % 90).cast("string"), F.lit(" percent"))
+    said = F.concat(F.lit("We had approximately $"), F.round("o_totalprice").cast("long").cast("string"), F.lit(" Billon in "), what, F.when(F.col("o_orderkey") % 3 != 0, F.lit(", increased ")).otherwise(F.lit(", down ")), (F.col("o_orderkey") % 90).cast("string"), F.lit(" percent"))
     found = structure.narrative_metrics(o.select("o_orderkey", said.alias("block_text")))
     return found.select("o_orderkey", "item", F.col("amount").cast("long").alias("amount"), F.col("change").cast("long").alias("change"))
 
