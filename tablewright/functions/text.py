@@ -64,7 +64,8 @@ def first_text(*columns: Column | str) -> Column:
 
 def safe_int(c: Column | str, default: int) -> Column:
     """A whole number of at least 1; ``default`` for anything else."""
-    return F.coalesce(F.greatest(F.trim(_col(c).cast("string")).try_cast("int"), F.lit(1)), F.lit(default))
+    number = F.trim(_col(c).cast("string")).try_cast("int")
+    return F.when(number.isNotNull(), F.greatest(number, F.lit(1))).otherwise(default)
 
 
 def has_digit(c: Column) -> Column:

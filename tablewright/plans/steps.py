@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import input_slug
+from ..session import checkpointed
 
 # Name, tool, names depended on.
 HEAD = [("profile_inputs", "document_profiler", []), ("ingest", "file_loader", ["profile_inputs"])]
@@ -81,7 +82,7 @@ def plan_levels(steps: DataFrame, edges: DataFrame, most: int = 100) -> DataFram
 
     A step of a cycle, behind one, or behind an unknown step has no level. ``most`` bounds the recursion.
     """
-    spark = steps.sparkSession
+    spark, edges = steps.sparkSession, checkpointed(edges)
     ready = spark.sql(
         """
         WITH RECURSIVE walk(task_id, name, level) MAX RECURSION LEVEL {most} AS (
@@ -92,8 +93,11 @@ def plan_levels(steps: DataFrame, edges: DataFrame, most: int = 100) -> DataFram
         s=steps.select("task_id", "name"),
         e=edges,
     )
+    ready = checkpointed(ready)
     # A step counts only if all its sources do: those with a source that no walk reaches are cut, and what is behind them.
     blocked = edges.join(ready.select("task_id", F.col("name").alias("source")), ["task_id", "source"], "left_anti").select("task_id", F.col("target").alias("name")).distinct()
+    if not blocked.limit(1).count():
+        return ready.where(F.col("level") < most - 1)
     behind = spark.sql(
         """
         WITH RECURSIVE cut(task_id, name, n) MAX RECURSION LEVEL {most} AS (
