@@ -46,6 +46,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it; keeps expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_text(c: Column | str) -> Column:
     """Runs of white space as one space, none at the ends; null as the empty string."""
     return F.trim(F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), SPACE, " "))
@@ -151,12 +156,14 @@ def unit_tokens(c: Column | str) -> Column:
 
 
 def strip_context_unit(c: Column | str, units: Column | str) -> Column:
-    """A cell without the units that its context names; null if the context names none or nothing is left."""
-    text, value = F.lower(normalize_text(units)), _col(c)
-    for token in sorted(UNIT_TOKENS, key=lambda t: (-len(t), UNIT_TOKENS.index(t))):
-        cut = rf"(?iU)\b{token}\b" if token.isascii() else token
-        value = F.regexp_replace(value, F.when(F.contains(text, F.lit(token)), cut).otherwise("(?!)"), F.lit(""))
-    return F.when(F.size(unit_tokens(units)) > 0, F.nullif(normalize_text(value), F.lit("")))
+    """A cell without the units that its context names; null if the context names none or nothing is left.
+
+    Longer tokens are tried first at each place. Latin tokens go at word borders only, without case.
+    """
+    ordered = sorted(UNIT_TOKENS, key=lambda t: (-len(t), UNIT_TOKENS.index(t)))
+    named = let(F.lower(normalize_text(units)), lambda text: F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), rf"\b{t}\b" if t.isascii() else t) for t in ordered])))
+    cut = let(F.array_join(named, "|"), lambda p: F.when(p != "", F.regexp_replace(_col(c), F.concat(F.lit("(?iU)"), p), F.lit(""))))
+    return let(normalize_text(cut), lambda left: F.when(left != "", left))
 
 
 def metric_kind(label: Column | str, period: Column | str, title: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fix_ocr_digits, has_digit, normalize_text, parse_number, repair_confidence, strip_context_unit
+from ..functions.text import fix_ocr_digits, has_digit, let, normalize_text, parse_number, repair_confidence, strip_context_unit
 
 # Fixed values.
 DIGIT_BASE, UNIT_BASE, LOGGED, SHOWN_PEERS = 0.72, 0.82, 50, 3
@@ -15,14 +15,18 @@ ROW = ["task_id", "table_seq", "row_seq"]
 
 def candidate(raw: Column | str, units: Column | str) -> Column:
     """struct<text, value, reason, base> of a repair, or null: confused letters as digits, then units of the context cut."""
-    text = normalize_text(raw)
-    digits = fix_ocr_digits(text)
-    changed = digits != text
-    stripped = strip_context_unit(digits, units)
-    made = lambda t, reason, base: F.struct(t.alias("text"), parse_number(t).alias("value"), reason.alias("reason"), F.lit(base).alias("base"))
-    first = F.when(changed & parse_number(digits).isNotNull(), made(digits, F.lit("ocr_digit_confusion"), DIGIT_BASE))
-    second = F.when((stripped != digits) & parse_number(stripped).isNotNull(), made(stripped, F.when(changed, "contextual_ocr_unit_suffix").otherwise("contextual_unit_suffix"), UNIT_BASE))
-    return F.when(parse_number(text).isNull() & has_digit(text), F.coalesce(first, second))
+    units = F.col(units) if isinstance(units, str) else units
+    made = lambda t, value, reason, base: F.struct(t.alias("text"), value.alias("value"), reason.alias("reason"), F.lit(base).alias("base"))
+
+    def cut_units(text: Column, digits: Column) -> Column:
+        reason = F.when(digits != text, "contextual_ocr_unit_suffix").otherwise("contextual_unit_suffix")
+        return let(strip_context_unit(digits, units), lambda s: let(parse_number(s), lambda v: F.when((s != digits) & v.isNotNull(), made(s, v, reason, UNIT_BASE))))
+
+    def confused(text: Column, digits: Column) -> Column:
+        return let(parse_number(digits), lambda v: F.when((digits != text) & v.isNotNull(), made(digits, v, F.lit("ocr_digit_confusion"), DIGIT_BASE)))
+
+    fix = lambda text: let(fix_ocr_digits(text), lambda digits: F.coalesce(confused(text, digits), cut_units(text, digits)))
+    return let(normalize_text(raw), lambda text: F.when(parse_number(text).isNull() & has_digit(text), fix(text)))
 
 
 def repair_cells(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
