@@ -58,7 +58,7 @@ def test_checks_quality_and_repair(spark, found):
     checks = every.where("task_id = 1").collect()
     kinds = sorted((c.type, c.status) for c in checks)
     assert ("numeric_parse", "warn") in kinds and ("sum_check", "fail") in kinds
-    assert next(c.detail for c in checks if c.type == "sum_check") == "2024: expected 1700.0, got 900.0"
+    assert next(c.detail for c in checks if c.row == "Total assets") == "2024: expected 1700.0, got 900.0"
     d = quality.table_diagnostics(found.tables, found.rows, found.cells)
     q = {r.task_id: r for r in quality.quality(spark.createDataFrame([(1,), (2,), (3,)], "task_id long"), d, every).collect()}
     assert (q[1].risk_level, q[1].failed_count, q[3].risk_level, q[3].table_count, q[3].warnings) == ("high", 1, "high", 0, ["No structured tables were produced."])
