@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import common, decontaminate, mixing, quality_cnn, registry, simhash, token_planes
+from tablewright.llm import common, decontaminate, mixing, near_copies, quality_cnn, registry, token_planes
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the least doc_id; of rows alike, one."""
-    found = common.stored(simhash.near_duplicates(docs), "near-duplicates")
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that of the least doc_id; of rows alike, one."""
+    found = common.stored(near_copies.near_copies(docs), "near-copies")
     kept = common.without(docs, common.stored(found.where("not stays").select("doc_id", "print").distinct(), "copies"))
     if found.where("stays").groupBy("doc_id", "print").count().where("count > 1").limit(1).count():
         kept = kept.withColumn("__print", common.text_print()).dropDuplicates(["doc_id", "__print"])
@@ -51,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup by shingles", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("mixing sources to target weights", mix),
     ("token-ID output", tokens),
