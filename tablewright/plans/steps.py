@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,38 +79,29 @@ def edges_of(steps: DataFrame) -> DataFrame:
     return steps.select("task_id", F.explode("depends_on").alias("source"), F.col("name").alias("target"))
 
 
-def plan_levels(steps: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def plan_levels(steps: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """task_id, name, level: 0 without dependencies, else one more than the latest of them.
 
-    A step of a cycle, behind one, or behind an unknown step has no level. ``most`` bounds the recursion.
+    A step of a cycle, behind one, or behind an unknown step has no level. Each round takes the steps
+    whose sources all have levels, until there are none; with ``most``, levels below ``most`` - 1 only.
     """
-    spark, edges = steps.sparkSession, checkpointed(edges)
-    ready = spark.sql(
-        """
-        WITH RECURSIVE walk(task_id, name, level) MAX RECURSION LEVEL {most} AS (
-          SELECT s.task_id, s.name, 0 FROM {s} s LEFT ANTI JOIN {e} e ON s.task_id = e.task_id AND s.name = e.target
-          UNION ALL SELECT w.task_id, e.target, w.level + 1 FROM walk w JOIN {e} e ON w.task_id = e.task_id AND w.name = e.source WHERE w.level < {most} - 1)
-        SELECT task_id, name, max(level) AS level FROM walk GROUP BY task_id, name
-        """.replace("{most}", str(most)),
-        s=steps.select("task_id", "name"),
-        e=edges,
-    )
-    ready = checkpointed(ready)
-    # A step counts only if all its sources do: those with a source that no walk reaches are cut, and what is behind them.
-    blocked = edges.join(ready.select("task_id", F.col("name").alias("source")), ["task_id", "source"], "left_anti").select("task_id", F.col("target").alias("name")).distinct()
-    if not blocked.limit(1).count():
-        return ready.where(F.col("level") < most - 1)
-    behind = spark.sql(
-        """
-        WITH RECURSIVE cut(task_id, name, n) MAX RECURSION LEVEL {most} AS (
-          SELECT task_id, name, 0 FROM {b}
-          UNION ALL SELECT c.task_id, e.target, c.n + 1 FROM cut c JOIN {e} e ON c.task_id = e.task_id AND c.name = e.source WHERE c.n < {most} - 1)
-        SELECT DISTINCT task_id, name FROM cut
-        """.replace("{most}", str(most)),
-        b=blocked,
-        e=edges,
-    )
-    return ready.where(F.col("level") < most - 1).join(behind, ["task_id", "name"], "left_anti")
+    step = ["task_id", "name"]
+    edges = checkpointed(edges)
+    waiting = checkpointed(edges.groupBy("task_id", F.col("target").alias("name")).agg(F.count("*").alias("n")))
+    ready = checkpointed(steps.select(step).distinct().join(waiting, step, "left_anti"))
+    done, recent, level = [ready.limit(0).withColumn("level", F.lit(0))], [], 0
+    while (most is None or level < most - 1) and ready.limit(1).count():
+        recent.append(ready.withColumn("level", F.lit(level)))
+        if len(recent) == 32:  # a short plan, however many levels
+            done, recent = [checkpointed(_union(done + recent))], []
+        met = edges.join(ready.withColumnRenamed("name", "source"), ["task_id", "source"]).groupBy("task_id", F.col("target").alias("name")).agg(F.count("*").alias("met"))
+        left = checkpointed(waiting.join(met, step, "left").select(*step, (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")))
+        ready, waiting, level = left.where("n = 0").select(step), left.where("n > 0"), level + 1
+    return _union(done + recent)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def graph_summary(steps: DataFrame, levels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -177,3 +177,21 @@ def test_inbox(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text(json.dumps(PAGES))
     process_inbox(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
     assert spark.read.parquet(str(tmp_path / "out" / "tables")).count() == 3
+
+
+def test_levels_without_bounds(spark):
+    """A chain deeper than 100, many diamonds, and more steps than the row limit of a recursive query."""
+    chain = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(104)]
+    wide = [(2, "root", [])] + [(2, f"w{i}", ["root"]) for i in range(300)]
+    diamonds = [(3, "d0", [])] + [s for i in range(12) for s in ((3, f"l{i}", [f"d{i}"]), (3, f"r{i}", [f"d{i}"]), (3, f"d{i + 1}", [f"l{i}", f"r{i}"]))]
+    plan = spark.createDataFrame(chain + wide + diamonds, "task_id long, name string, depends_on array<string>")
+    edges = steps.edges_of(plan)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "500")
+    try:
+        levels = steps.plan_levels(plan, edges)
+        got = {(r.task_id, r["name"]): r.level for r in levels.collect()}
+        summary = {r.task_id: (r.step_count, r.edge_count, r.level_count, r.is_dag) for r in steps.graph_summary(plan, levels, edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {(1, f"c{i}"): i for i in range(104)} | {(2, "root"): 0} | {(2, f"w{i}"): 1 for i in range(300)} | {(3, f"d{i}"): 2 * i for i in range(13)} | {(3, f"{x}{i}"): 2 * i + 1 for i in range(12) for x in "lr"}
+    assert summary == {1: (104, 103, 104, True), 2: (301, 300, 2, True), 3: (37, 48, 25, True)}
