@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import jpeg
-from .common import bound_batches, documents
+from .common import bound_batches, documents, stored
 
 UNIT = 576
 #: Payload bytes that are encoded or decoded together.
@@ -80,4 +80,4 @@ def read_media(media: DataFrame) -> DataFrame:
 
 def op7_media_jpeg(spark, sf_dir: str) -> DataFrame:
     """Every row of documents, null and empty texts as 576 bytes 255; other columns are ignored."""
-    return read_media(store_media(documents(spark, sf_dir)))
+    return read_media(stored(store_media(documents(spark, sf_dir)), "media"))

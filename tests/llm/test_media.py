@@ -128,3 +128,14 @@ def test_query(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-32:]))
     assert got[2][1:] == got[3][1:] and got[None][1:] == got[1][1:] and got[2].media_bytes > 576
     assert media.read_media(media.store_media(df.limit(0))).count() == 0
+
+
+def test_query_reads_a_stored_table(spark, tmp_path):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(folder.glob("tablewright-media-*"))
+    got = {r.doc_id: r.media_sha256 for r in media.op7_media_jpeg(spark, str(tmp_path)).collect()}
+    (new,) = set(folder.glob("tablewright-media-*")) - before
+    assert {r.doc_id: hashlib.sha256(r.media).hexdigest() for r in spark.read.parquet(f"file://{new}").collect()} == got and len(got) == 2
