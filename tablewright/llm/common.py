@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to a Python worker, where the session keeps Spark's default.
-ARROW_ROWS = 2000
-#: A side of a join is broadcast only after its rows were counted and found to be at most this many.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of one Arrow batch handed to a Python worker, where the session keeps Spark's defaults. All
+#: operators set the same, so none depends on which ran before.
+ARROW_ROWS, ARROW_BYTES = 1000, "8m"
+#: A side of a join is broadcast only after its rows and bytes were counted and found to be at most these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: A-Z and a-z, for translate(): lower-casing that leaves every other character alone.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -58,19 +59,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the rows of an Arrow batch, unless the session has set its own number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the rows and bytes of an Arrow batch, unless the session has set its own numbers."""
+    for key, usual, value in (("maxRecordsPerBatch", "10000", str(ARROW_ROWS)), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, value)
 
 
-def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if it has at most ``limit`` rows; as it is (shuffle join) beyond.
+def _bytes(name: str, kind: str) -> Column:
+    """About how many bytes a value takes."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(name), F.lit(0))
+    if kind in ("array<string>", "array<binary>"):
+        return F.coalesce(F.aggregate(name, F.lit(0), lambda n, x: n + 8 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+    return F.lit(8)
+
+
+def fits(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Does a table have at most ``rows`` rows and about ``size`` bytes? Reads at most ``rows`` + 1 of its rows."""
+    width = sum((_bytes(f"`{n}`", k) for n, k in small.dtypes), F.lit(8))
+    n, held = small.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return n <= rows and (held or 0) <= size
 
-    ``small`` should be a stored table of a few narrow columns: the count then reads Parquet footers only.
-    """
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+
+def sized(small: DataFrame) -> DataFrame:
+    """``small``, which should be a stored table, with a broadcast hint if it fits; as it is (shuffle join) beyond."""
+    return F.broadcast(small) if fits(small) else small
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -88,7 +103,16 @@ def text_print(column: str = "text"):
     return F.xxhash64(column, F.length(column))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    known = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in known:
+        pass
+    return name
+
+
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, print) isn't in ``keys``, a stored table; null ids match null ids."""
-    k = sized(keys.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")))
-    return docs.join(k, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_print() == F.col("__print")), "left_anti")
+    key, of = fresh_name(docs, "id"), fresh_name(docs, "print")
+    k = sized(keys.select(F.col("doc_id").alias(key), F.col("print").alias(of)))
+    return docs.join(k, docs["doc_id"].eqNullSafe(F.col(key)) & (text_print() == F.col(of)), "left_anti")

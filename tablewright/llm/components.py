@@ -7,11 +7,23 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Neighbours from which on a node is hot: at most a millionth of the pairs are such nodes.
+HOT = 1_000_000
+
 
 def _nearest(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and its neighbours. The minimum is pre-aggregated before the shuffle."""
-    least = checkpointed(pairs.groupBy("u").agg(F.min("v").alias("m")))
-    return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+    """(u, v, m): m is the least of u and its neighbours. The minimum is pre-aggregated before the shuffle.
+
+    Nodes of more than HOT neighbours, of which there are few, meet their pairs by broadcast, so that the
+    pairs of a star's centre stay where they are.
+    """
+    least = checkpointed(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    hot = least.where(F.col("n") > HOT).select("u", "m")
+    met = pairs.join(least.select("u", "m"), "u")
+    if hot.limit(1).count():
+        rest = pairs.join(F.broadcast(hot), "u", "left_anti").join(least.where(F.col("n") <= HOT).select("u", "m"), "u")
+        met = pairs.join(F.broadcast(hot), "u").unionByName(rest)
+    return met.select("u", "v", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -35,8 +35,12 @@ def _grouped(items: list[bytes], most: int = GROUP):
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (of the text), media (a JPEG stream) for every row of ``docs`` (doc_id, text)."""
-    bound_batches(docs.sparkSession, 500)
+    """doc_id, n_bytes (of the text), media (a JPEG stream) for every row of ``docs`` (doc_id, text).
+
+    A null or empty text is 576 bytes 255; a very long one is several images one after another; equal
+    texts and repeated rows get equal bytes; an empty table gives an empty result; other columns are ignored.
+    """
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -59,7 +63,8 @@ def read_media(media: DataFrame) -> DataFrame:
     """What the stored bytes of ``media`` (doc_id, n_bytes, media) hold.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: the
-    size of each image and the average hash of its DC thumbnail.
+    size of each image and the average hash of its DC thumbnail. A row for each of ``media``, which may
+    repeat ids or lack them; null or damaged media are an error.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -68,7 +73,7 @@ def read_media(media: DataFrame) -> DataFrame:
             rows = []
             for group in _grouped(batch.column(2).to_pylist()):
                 for data, images in zip(group, jpeg.thumbnails(group), strict=True):
-                    held = b"".join(p.tobytes() for *_, p in images)
+                    held = b"".join(jpeg.BYTES[p].tobytes() for *_, p in images)
                     feature = ";".join(f"{w}x{h}:{jpeg.average_hash(p)}" for w, h, p in images)
                     rows.append((len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             c = list(zip(*rows, strict=True)) or [[]] * 6

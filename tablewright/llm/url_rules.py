@@ -114,7 +114,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str =
     fits, that is null or that has no host part gets ``default`` and a null rule. Repeated rows get
     equal results; an empty table gives an empty result.
     """
-    bound_batches(pages.sparkSession, 20_000)
+    bound_batches(pages.sparkSession)
     ranked = sorted(rules, key=lambda r: -len(r[1]))
 
     def run(batches):
