@@ -1,9 +1,11 @@
 """Baseline JPEG in numpy: an encoder for lossless byte payloads and a decoder for DC thumbnails.
 
-The payload is stored with one byte in each 8x8 block: a block of that constant grey level, whose DC
+The payload is stored with one byte in each 8x8 block: a block of a constant grey level, whose DC
 coefficient at quantiser step 8 is the level itself (less 128) and whose AC coefficients are zero. Any
 JPEG viewer shows the bytes as grey squares, and the DC-only luminance thumbnail, a pixel for each
-block, is the payload.
+block, gives the payload back. ``TONES`` says which level a byte has: a fixed permutation that puts
+the characters of written text next to mid-grey, as DC coefficients are stored as differences and
+small ones take fewer bits.
 
 The decoder takes any baseline sequential JPEG of 8-bit samples: it parses the markers, splits the
 scan at its restart markers, and Huffman-decodes all segments of equal structure in step, a block at a
@@ -19,12 +21,28 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: The encoder's blocks a row, blocks between restart markers, and most rows (65535 samples at most).
-ROW, RESTART, MOST_ROWS = 24, 64, 8184
+ROW, RESTART, MOST_ROWS = 24, 288, 8184
+#: Frequent characters of texts in Latin letters, the most frequent first; 255 fills payloads.
+FREQUENT = b" etaoinsrhldcumfpgwybvkxjqz,.\n\xff-'0123456789"
 #: The encoder's Huffman tables: code lengths of the DC size categories, and a single AC symbol (end of block).
-DC_LENGTHS = {5: 2, 6: 2, 3: 3, 4: 3, 7: 3, 2: 4, 0: 5, 1: 6, 8: 7, 9: 8, 10: 9, 11: 10}
+DC_LENGTHS = {3: 2, 0: 3, 1: 3, 2: 3, 4: 3, 6: 4, 7: 4, 5: 5, 8: 5, 9: 6, 10: 7, 11: 8}
 AC_LENGTHS = {0: 1}
 
 
+def _tones() -> np.ndarray:
+    """The level of each byte: 128, 129, 127, 130, ... in order of frequency, then in order of bytes."""
+    levels = sorted(range(256), key=lambda v: (abs(v - 128), -v))
+    order = [*FREQUENT, *(b for b in range(256) if b not in FREQUENT)]
+    found = np.zeros(256, np.uint8)
+    found[order] = levels
+    return found
+
+
+#: Byte -> level, and back.
+TONES = _tones()
+BYTES = np.argsort(TONES).astype(np.uint8)
+
+
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     """symbol -> (code, length) of a canonical Huffman table."""
     code, last, codes = 0, 0, {}
@@ -82,7 +100,7 @@ def shapes(blocks: int) -> list[tuple[int, int]]:
 def encode(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a positive multiple of 576 bytes) as one baseline JPEG, or several one after another."""
     images = [shape for p in payloads for shape in shapes(len(p))]
-    data = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64).reshape(-1, RESTART)
+    data = TONES[np.frombuffer(b"".join(payloads), np.uint8)].astype(np.int64).reshape(-1, RESTART)
     diff = data - 128
     diff[:, 1:] = data[:, 1:] - data[:, :-1]
     bits, sizes = _BITS[diff + 255], _SIZES[diff + 255]

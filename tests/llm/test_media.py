@@ -14,13 +14,18 @@ def test_payload():
     assert media.payload("ab") == b"ab" + b"\xff" * 574
 
 
+def test_tones():
+    assert sorted(jpeg.TONES.tolist()) == list(range(256)) == jpeg.BYTES[jpeg.TONES].tolist()
+    assert [jpeg.TONES[ord(c)] for c in " eta"] == [128, 129, 127, 130]
+
+
 @pytest.mark.parametrize("n", [576, 1152, 576 * 400])
 def test_round_trip(n):
     rng = np.random.default_rng(n)
     for data in (rng.integers(0, 256, n, dtype=np.uint8).tobytes(), b"\xff" * n, b"\x00\xff" * (n // 2), b"text " * (n // 5) + b"t" * (n % 5)):
         (stream,) = jpeg.encode([data])
         ((w, h, pixels),) = jpeg.thumbnails([stream])[0]
-        assert pixels.tobytes() == data and (w, h) == (pixels.shape[1] * 8, pixels.shape[0] * 8)
+        assert jpeg.BYTES[pixels].tobytes() == data and (w, h) == (pixels.shape[1] * 8, pixels.shape[0] * 8)
 
 
 def test_several_images_a_payload(monkeypatch):
@@ -28,7 +33,7 @@ def test_several_images_a_payload(monkeypatch):
     data = np.random.default_rng(0).integers(0, 256, 576 * 120, dtype=np.uint8).tobytes()
     streams = jpeg.encode([data, data[:576]])
     found = jpeg.thumbnails(streams)
-    assert len(found[0]) == 3 and b"".join(p.tobytes() for *_, p in found[0]) == data and found[1][0][2].tobytes() == data[:576]
+    assert len(found[0]) == 3 and b"".join(jpeg.BYTES[p].tobytes() for *_, p in found[0]) == data and jpeg.BYTES[found[1][0][2]].tobytes() == data[:576]
 
 
 def plain_decode(data):
@@ -126,7 +131,7 @@ def test_query(spark):
     for d, t, _ in rows:
         held, r = media.payload(t), got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-32:]))
-    assert got[2][1:] == got[3][1:] and got[None][1:] == got[1][1:] and got[2].media_bytes > 576
+    assert got[2][1:] == got[3][1:] and got[None][1:] == got[1][1:] and got[2].media_bytes == len(jpeg.encode([media.payload("a")])[0])
     assert media.read_media(media.store_media(df.limit(0))).count() == 0
 
 
