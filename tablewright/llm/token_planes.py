@@ -183,16 +183,18 @@ def write_token_planes(
     """Encode ``docs`` (doc_id, text) into shards under ``path``, in ascending doc_id order; the manifest.
 
     Rows: shard, path, n_docs, n_ids, start (ids of all shards before). Documents without an id come
-    first; rows of one id are ordered by text; a null text is an empty one; other columns are ignored;
-    an empty table gives empty shards. One range shuffle of (doc_id, text) orders the corpus, each
-    task streams one shard, and a shard appears under its name only when complete, so a task may run
-    again. The manifest (a row for each shard) is the only thing that reaches the driver.
+    first; rows of one id are ordered by a hash of the text, then by text, so that the range shuffle can
+    split an id (or no id) that many rows share; a null text is an empty one; very long texts are encoded
+    whole; other columns are ignored; an empty table gives empty shards. Each task streams one shard, and
+    a shard appears under its name only when complete, so a task may run again. The manifest (a row for
+    each shard) is the only thing that reaches the driver. Without ``shards`` there is one for each shuffle partition.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     make_dir(path)
     n = shards or shuffle_partitions(spark)
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(n, F.asc_nulls_first("doc_id"), "print").sortWithinPartitions(F.asc_nulls_first("doc_id"), "print", "text").drop("print")
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def write(batches):
@@ -244,9 +246,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def piece_encoder(tokenizer_path: str) -> Callable[[], Callable[[str], bytes]]:
     def make():
-        from .bpe import PieceEncoder
+        from .bpe import encoder
 
-        return PieceEncoder(tokenizer_path).encode
+        return encoder(tokenizer_path).encode
 
     return make
 

@@ -6,10 +6,12 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablewright.llm.bpe import PieceEncoder
-from tablewright.llm.token_planes import ShardReader, ShardWriter, from_planes, to_planes, token_planes
+from tablewright.llm.bpe import PieceEncoder, cuts_at_spaces
+from tablewright.llm.common import fresh_path
+from tablewright.llm.token_planes import ShardReader, ShardWriter, from_planes, piece_encoder, to_planes, token_planes, write_token_planes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  ", "a  b", "a   b ", "\n\n a", "a \n b", "it's  don't 're", "x<|endoftext|>y  <|endoftext|>", "a\x1c b", "word.\n next,\nfoo. bar,", "日本 語 🎉🎉", "a　b  ", "1,234.5 %"]
@@ -51,8 +53,9 @@ def test_query_matches_the_library(spark):
     random.Random(0).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)
     got = sorted(map(tuple, token_planes(df, PATH, block=1000).collect()), key=lambda r: r[1])
+    hashed = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.xxhash64("text").alias("h")).collect()}
     start = 0
-    for (doc_id, text, _), row in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), got, strict=True):
+    for (doc_id, text, _), row in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1] or ""])), got, strict=True):
         ids = encoded(text or "") + bytes(4)
         assert row == (doc_id, start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
@@ -60,3 +63,18 @@ def test_query_matches_the_library(spark):
 
 def test_empty_table(spark):
     assert token_planes(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_one_id_is_split(spark):
+    """Rows without an id, or of one id, fill several shards."""
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(200)] + [(5, f"text {i}") for i in range(200)], "doc_id long, text string")
+    manifest = write_token_planes(df, fresh_path(spark, "hot"), piece_encoder(PATH), shards=8).collect()
+    assert sum(r.n_docs for r in manifest) == 400 and max(r.n_docs for r in manifest) < 150
+
+
+def test_other_tokenizers_encode_whole():
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert cuts_at_spaces(PATH) and not cuts_at_spaces(other)
+    whole = Tokenizer.from_file(other)
+    for text in ODD:
+        assert PieceEncoder(other).encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
