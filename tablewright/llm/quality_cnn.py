@@ -8,18 +8,19 @@ minimum over the chunks go into a logistic unit that gives one probability.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bound_batches, documents, table
+from .common import bound_batches, documents, stored, table, text_print
 
 WIDTH, FILTERS, STEP = 6, 24, 128
-#: Training: labelled rows of each class at most, the bytes of each text taken (a window at a random
-#: place of a longer one), and passes. Scoring has no such bounds.
-CLASS_ROWS, TEXT_BYTES, PASSES = 1200, 6000, 6
+#: Training: labelled rows of each class at most, bytes of one text and of all together at most (others
+#: aren't sampled; those that are count whole), and passes. Scoring has no such bounds.
+CLASS_ROWS, TEXT_BYTES, FIT_BYTES, PASSES = 1200, 1_000_000, 48_000_000, 6
 #: Positions whose activations are in memory at once.
 PIECE = 512 * STEP
 
@@ -76,14 +77,23 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _maxima(net: Network, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each filter is largest in each block of positions, and its value there."""
+    n, places, values = len(data) - WIDTH + 1, [], []
+    for i in range(0, n, PIECE):
+        m = min(PIECE, n - i)
+        act = net.filters[0].take(data[i : i + m], axis=0)
+        for j in range(1, WIDTH):
+            act += net.filters[j].take(data[i + j : i + j + m], axis=0)
+        at = np.stack([s + act[s : s + STEP].argmax(axis=0) for s in range(0, m, STEP)])
+        places.append(at + i)
+        values.append(np.take_along_axis(act, at, axis=0))
+    return np.concatenate(places), np.concatenate(values)
+
+
 def _forward_backward(net: Network, data: np.ndarray, label: float, grads: list[np.ndarray]) -> None:
-    n = len(data) - WIDTH + 1
-    act = net.filters[0].take(data[:n], axis=0)
-    for j in range(1, WIDTH):
-        act += net.filters[j].take(data[j : j + n], axis=0)
-    starts = np.arange(0, n, STEP)
-    at = np.stack([s + act[s : s + STEP].argmax(axis=0) for s in starts])
-    top = np.take_along_axis(act, at, axis=0) + net.bias
+    at, top = _maxima(net, data)
+    top = top + net.bias
     if len(top) > 1:
         second = top[1:] > top[:-1]
         pre, at = np.where(second, top[1:], top[:-1]), np.where(second, at[1:], at[:-1])
@@ -126,11 +136,7 @@ def train(rows: list[tuple[str | None, int]], prior: float, seed: int = 7) -> Ne
         for i in range(0, len(order), batch):
             grads = [np.zeros_like(p) for p in params]
             for o in order[i : i + batch]:
-                x, y = data[o]
-                if len(x) > TEXT_BYTES:
-                    s = int(rng.integers(0, len(x) - TEXT_BYTES + 1))
-                    x = x[s : s + TEXT_BYTES]
-                _forward_backward(net, x, y, grads)
+                _forward_backward(net, *data[o], grads)
             step += 1
             rate = 0.01 * (1 - step / (total + 1))
             for p, g, (m, v) in zip(params, grads, moments, strict=True):
@@ -151,37 +157,45 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> Network:
     """Learn labels.quality from at most ``class_rows`` labelled rows of each class that aren't held out.
 
-    The rows with the least hash of doc_id are taken. The class shares are counted over all labelled
-    rows that aren't held out. A doc_id with several labels counts with the least; null ids and
-    labels are ignored.
+    The rows with the least hash of doc_id are taken, as far as FIT_BYTES go; the class shares are counted
+    over all labelled rows that aren't held out. A doc_id with several labels or texts counts with the
+    least of each; null ids and labels are ignored. With one class only, or none, every score is the prior.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r.quality: r["count"] for r in usable.groupBy("quality").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    picked = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(class_rows) for q in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("text", "quality", "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
+    picked = stored(reduce(DataFrame.union, [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(class_rows) for q in (0, 1)]), "picked")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TEXT_BYTES)
+    sampled = stored(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "sampled")
+    # At most 2 * class_rows rows of two numbers.
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    kept = sampled.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= FIT_BYTES).drop("so_far")
+    rows = sampled.join(F.broadcast(kept), "doc_id").select("text", "quality", "doc_id").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return train([(r.text, r.quality) for r in rows], prior)
 
 
 def quality_scores(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with a last column ``score``, of the whole ``text``; null and empty texts are scored as one zero byte."""
+    """doc_id, print (a hash of the text), score for every row of ``docs`` (doc_id, text; others are ignored).
+
+    The whole ``text`` is scored, however long, with a fixed number of positions in memory; null and empty
+    texts as one zero byte. Repeated rows get equal scores, null ids stay, an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
-    held, at = spark.sparkContext.broadcast(net), docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    names = schema.names
+    held = spark.sparkContext.broadcast(net)
 
     def run(batches):
         model = held.value
         for batch in batches:
-            scores = pa.array([model.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names)
+            scores = pa.array([model.score(t.as_py()) for t in batch.column(2)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], ["doc_id", "print", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", text_print().alias("print"), "text").mapInArrow(run, "doc_id long, print long, score double")
 
 
 def op5_quality_cnn(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    """All of documents; fitted on rows whose id isn't held out."""
+    docs = documents(spark, sf_dir)
     scored = quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

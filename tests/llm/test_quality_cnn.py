@@ -55,11 +55,11 @@ def test_query_learns_and_leaves_held_out_labels_alone(spark, monkeypatch):
     labels = [(d, y, 0) for d, _, y in rows]
     flipped = [(d, 1 - y if out(d) else y, 0) for d, y, _ in labels] + [(None, 1, 0), (3, None, 0)]
     nets = [m.fit(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (labels, flipped)]
-    scored = [m.quality_scores(docs.select("doc_id", "text"), n).collect() for n in nets]
+    scored = [m.quality_scores(docs, n).collect() for n in nets]
     assert sorted(scored[0], key=str) == sorted(scored[1], key=str)
     assert len(scored[0]) == 202 and all(0 <= r.score <= 1 for r in scored[0])
     truth = {d: y for d, _, y in rows}
-    held = [(r.score >= 0.5) == truth[r.doc_id] for r in scored[0] if r.text and out(r.doc_id)]
+    held = [(r.score >= 0.5) == truth[r.doc_id] for r in scored[0] if r.doc_id is not None and out(r.doc_id)]
     assert sum(held) >= 0.95 * len(held)
 
 
@@ -68,3 +68,29 @@ def test_no_labels_and_empty_table(spark):
     net = m.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert [r.score for r in m.quality_scores(docs, net).collect()] == [0.5, 0.5]
     assert m.quality_scores(docs.limit(0), net).count() == 0
+
+
+def test_long_texts_and_the_bounds_of_the_sample(spark, monkeypatch):
+    """Texts above TEXT_BYTES or beyond FIT_BYTES aren't sampled; the others count whole, each id once."""
+    seen = []
+    monkeypatch.setattr(m, "train", lambda rows, prior, **_: seen.append(rows) or m.Network.fresh())
+    monkeypatch.setattr(m, "TEXT_BYTES", 5000)
+    rows = [(d, t * 20 if d % 9 == 0 else t, y) for d, t, y in made(90)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, quality int")
+    m.fit(docs, labels)
+    out = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    assert sorted(seen[0]) == sorted((t, y) for d, t, y in rows if d % 9 and not out(d))
+    monkeypatch.setattr(m, "FIT_BYTES", 4000)
+    m.fit(docs, labels)
+    assert set(seen[1]) < set(seen[0]) and 0 < sum(len(t) for t, _ in seen[1]) <= 4000
+    net = m.Network.fresh()
+    long = "word and more. " * 20_000
+    assert [r.score for r in m.quality_scores(spark.createDataFrame([(1, long)] * 2, "doc_id long, text string"), net).collect()] == [net.score(long)] * 2
+
+
+def test_blocked_maxima(monkeypatch):
+    net, data = m.Network.fresh(), m.as_bytes("some text " * 100)
+    whole = m._maxima(net, data)
+    monkeypatch.setattr(m, "PIECE", 2 * m.STEP)
+    assert all((a == b).all() for a, b in zip(whole, m._maxima(net, data), strict=True))
