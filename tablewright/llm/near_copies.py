@@ -1,10 +1,19 @@
-"""Near copies by exact Jaccard similarity of word shingles: MinHash bands propose, whole texts decide.
-
-The shingles of a text are hashed and ``BANDS`` x ``ROWS`` minima taken; a band's minima make one key.
-Two texts of similarity s share a key with probability 1 - (1 - s^5)^30: all but 7 in a million at 0.8.
-Texts that share a key are compared by the sets of their shingles themselves. A group is first
-compared in stars around one member, which joins most of a large group with a link a member; then
-what is still apart within a group is compared pair by pair.
+"""SimHash near-dedup by shingle similarity: the operator's second definition of a link.
+
+Two texts link if the sets of their ``WIDTH``-word shingles have a Jaccard similarity of ``LEAST`` or more.
+The positional bytes of a 64-bit majority fingerprint can't find such pairs (at 0.8 about ten bits
+differ, which guarantees no equal byte), so the fingerprint here has ``BANDS`` x ``ROWS`` positional bytes, each a
+byte of the least value of the shingles under a hash of its own: a byte agrees with the probability of
+the similarity. The index is inverted by byte position as in :mod:`.simhash`: ``ROWS`` neighbouring bytes
+make a key. Two texts of similarity s share a key with probability 1 - (1 - s^5)^30: all but 7 in a
+million at 0.8. Within a posting list the shared bytes of a pair are tallied, pairs with ``AGREE`` or more go
+on, and the sets of shingles (as 64-bit hashes) are compared.
+
+Lists are worked through in two rounds. The first takes a few bands, and a list longer than a block
+only in parts, each against itself: linear work that joins most of a large group. The second takes
+all bands, but only lists that still hold several components; of those, members outside the largest
+component are compared with all others, block by block. No pair is emitted or shuffled but links, a
+forest for each block, and no pair of different texts is left out.
 """
 
 from __future__ import annotations
@@ -12,172 +21,226 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored, text_print
+from .common import bound_batches, sized, stored, text_print
 from .components import components
-from .simhash import _LOWER, BLOCK_ROWS, SEED
 
+SEED = 42
 #: Words of a shingle; the least similarity, as a fraction.
 WIDTH, LEAST = 5, (4, 5)
 BANDS, ROWS = 30, 5
-#: Rounds of stars, each around other members, before the pairs that are left.
-STARS = 2
-#: Of BANDS * ROWS minima (a byte of each), so many agree at least in a pair worth a comparison: 5.5 deviations below what 0.8 gives.
+#: Of BANDS * ROWS bytes so many agree at least in a pair worth a comparison: 5.5 deviations below what 0.8 gives.
 AGREE = 93
-_RNG = np.random.default_rng(SEED)
-_FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_TERMS = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+#: Bands of the first round.
+FIRST_BANDS = 4
+#: Most rows and bytes of text of a block of a posting list, unless a single text is larger.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 16_000_000
 PIECE = 1024
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+_TERMS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
+_PLACES = _RNG.integers(0, 1 << 64, WIDTH, np.uint64) | np.uint64(1)
+#: Hashes of words that a worker remembers.
+MEMO_WORDS = 200_000
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+_hash_of = _Words()
 
 
 def words(text: str | None) -> list[bytes]:
+    """Words of a text, A-Z lower-cased, cut at white space."""
     return (text or "").encode().translate(_LOWER).split()
 
 
-def shingles(found: list[bytes]) -> set[bytes]:
-    """Each WIDTH words in a row; of fewer words, all as one; none without words."""
+def shingles(found: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of each WIDTH words in a row; of fewer words, of all as one; none without words."""
+    if not found:
+        return np.zeros(0, np.uint64)
     if len(found) < WIDTH:
-        return {b" ".join(found)} if found else set()
-    return set(map(b" ".join, zip(*(found[i:] for i in range(WIDTH)), strict=False)))
-
-
-def alike(a: set[bytes], b: set[bytes]) -> bool:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], np.uint64)
+    each = np.fromiter(map(_hash_of.__getitem__, found), np.uint64, len(found))
+    n = len(each) - WIDTH + 1
+    mixed = each[:n] * _PLACES[0]
+    for i in range(1, WIDTH):
+        mixed += each[i : i + n] * _PLACES[i]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= _PLACES[0]
+    mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity is LEAST or more; two sets without shingles are alike."""
     if min(len(a), len(b)) * LEAST[1] < max(len(a), len(b)) * LEAST[0]:
         return False
-    both = len(a & b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
 
 
-def minima(found: set[bytes]) -> np.ndarray:
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+def positional_bytes(found: np.ndarray) -> bytes:
+    """A byte of each of the least values of ``found`` under BANDS * ROWS hashes."""
+    hashes = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
     for i in range(0, len(hashes), PIECE):
-        np.minimum(least, (_FACTORS[:, None] * hashes[i : i + PIECE] + _TERMS[:, None]).min(axis=1), out=least)
-    return least
+        value = _FACTORS * hashes[i : i + PIECE]
+        value += _TERMS
+        np.minimum(least, value.min(axis=1), out=least)
+    return least.astype(np.uint8).tobytes()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, print, node (a hash of the words in order), size (distinct shingles), bands (a key each), mins (a byte of each minimum)."""
+    """doc_id, print, node (a hash of the words in order), size (distinct shingles), weight (bytes of the text), mins (the positional bytes)."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            out = []
+            node, size, weight, mins = [], [], [], []
             for t in batch.column(2):
                 found = words(t.as_py())
-                least = minima(s := shingles(found))
-                bands = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
-                mins = (least >> np.uint64(56) ^ least >> np.uint64(20)).astype(np.uint8).tobytes()
-                out.append((xxhash.xxh64_intdigest(b" ".join(found), SEED), len(s), bands, mins))
-            node, size, bands, mins = zip(*out, strict=True) if out else ((),) * 4
-            keys = np.array(bands, np.uint64).astype(np.int64).reshape(-1)
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).astype(np.int64)), pa.array(size, pa.int64())]
-            columns += [pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys)), pa.array(mins, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "node", "size", "bands", "mins"])
-
-    return docs.select("doc_id", text_print().alias("print"), "text").mapInArrow(run, "doc_id long, print long, node long, size long, bands array<long>, mins binary")
+                s = shingles(found)
+                node.append(xxhash.xxh64_intdigest(b" ".join(found), SEED))
+                size.append(len(s))
+                weight.append(sum(map(len, found)) + len(found))
+                mins.append(positional_bytes(s))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).astype(np.int64)), pa.array(size, pa.int64()), pa.array(weight, pa.int64()), pa.array(mins, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "node", "size", "weight", "mins"])
 
+    return docs.select("doc_id", text_print().alias("print"), "text").mapInArrow(run, "doc_id long, print long, node long, size long, weight long, mins binary")
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (u, v) whose texts (node, text) are alike."""
-    a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
 
-    def run(batches):
-        last, of_last = None, set()
-        for batch in batches:
-            keep = []
-            for v, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if v != last:
-                    last, of_last = v, shingles(words(y.as_py()))
-                keep.append(alike(shingles(words(x.as_py())), of_last))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def postings(nodes: DataFrame) -> DataFrame:
+    """(band, key, node, weight, n): the members of each posting list of more than one, with their number."""
+    key = lambda b: F.expr(f"substring(mins, {b * ROWS + 1}, {ROWS})")
+    keyed = nodes.select("node", "weight", F.posexplode(F.array(*[key(b) for b in range(BANDS)])).alias("band", "key"))
+    lists = stored(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).where("n > 1"), "posting-lists")
+    return keyed.join(sized(lists), ["band", "key"])
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
+def _parts(n, size) -> F.Column:
+    """How many blocks ``n`` rows of ``size`` bytes make."""
+    return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
 
-def _ordered(u: str, v: str) -> list:
-    return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
+def first_round(members: DataFrame) -> DataFrame:
+    """Blocks of the first bands: each part of a list against itself."""
+    part = F.pmod(F.xxhash64("node", "band"), _parts(F.col("n"), F.col("bytes"))).cast("int")
+    return members.where(F.col("band") < FIRST_BANDS).select("band", "key", part.alias("a"), part.alias("b"), part.alias("own"), "node", F.col("node").alias("root"))
 
-def star_pairs(groups: DataFrame, seed: int) -> DataFrame:
-    """(u, v): each member of a group (key, node, root) and one member of it, where their roots differ."""
-    centre = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "root")).over(Window.partitionBy("key"))
-    starred = groups.withColumn("c", centre).where("root <> c.root").select("node", F.col("c.node").alias("centre"))
-    return starred.select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
 
+def second_round(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Blocks of all lists that hold several components: what isn't of the largest, against everything.
 
-def cross_pairs(groups: DataFrame, nodes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(u, v): all pairs of a group (key, node, root) with different roots whose sizes and minima allow LEAST."""
-    held = groups.join(nodes.select("node", "size", "mins"), "node").withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    dealt = held.withColumn("chunks", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keys = ["key", "a", "b"]
-    grouped = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "root", "size", "mins").repartition(*keys).sortWithinPartitions(*keys)
+    Lists that the first round saw whole are done.
+    """
+    seen = (F.col("band") < FIRST_BANDS) & (_parts(F.col("n"), F.col("bytes")) == 1)
+    rooted = stored(members.where(~seen).join(roots, "node", "left").select("band", "key", "node", "weight", F.coalesce("root", "node").alias("root")), "members")
+    by_root = rooted.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes"))
+    most = F.max(F.struct("n", "root", "bytes"))
+    open_ = by_root.groupBy("band", "key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), most.alias("most")).where("roots > 1")
+    whole = _parts(F.col("n"), F.col("bytes")) == 1
+    lists = open_.select("band", "key", F.col("most.root").alias("major"), F.when(whole, 0).otherwise(_parts(F.col("most.n"), F.col("most.bytes"))).alias("majors"), F.when(whole, 1).otherwise(_parts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes"))).alias("minors"))
+    placed = rooted.join(sized(stored(lists, "open-lists")), ["band", "key"])
+    # Chunks of the largest component come first, then the others'; in a list of one block all have chunk 0.
+    of_major = (F.col("root") == F.col("major")) & (F.col("majors") > 0)
+    mixed = F.xxhash64("node", "band")
+    own = F.when(of_major, F.pmod(mixed, F.greatest("majors", F.lit(1)))).otherwise(F.col("majors") + F.pmod(mixed, F.greatest("minors", F.lit(1)))).cast("int")
+    dealt = placed.withColumn("own", own)
+    to = F.when(of_major, F.sequence(F.col("majors"), F.col("majors") + F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("majors") + F.col("minors") - 1))
+    dealt = dealt.withColumn("other", F.explode(to))
+    return dealt.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "root")
+
+
+def linked(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links that join the members of each block as all links of different roots would.
+
+    ``texts`` has node, size, mins and text. A block goes through one task.
+    """
+    bound_batches(blocks.sparkSession)
+    keys = ["band", "key", "a", "b"]
+    rows = blocks.join(texts, "node").select(*keys, "own", "node", "root", "mins", "text").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        kept = None  # the last group of a batch may go on in the next
+        now, held = None, []
         for batch in batches:
-            numbers = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
-            mins = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-            if kept is not None:
-                numbers, mins = np.concatenate([kept[0], numbers]), np.concatenate([kept[1], mins])
-            if not len(numbers):
-                continue
-            starts = np.flatnonzero(np.r_[True, (numbers[1:, :3] != numbers[:-1, :3]).any(axis=1)])
-            for i, j in zip(starts[:-1], starts[1:], strict=True):
-                yield from _crossed(numbers[i:j, 3:], mins[i:j])
-            kept = numbers[starts[-1] :], mins[starts[-1] :]
-        if kept is not None:
-            yield from _crossed(kept[0][:, 3:], kept[1])
-
-    return grouped.mapInArrow(run, "u long, v long").select(*_ordered("u", "v")).distinct()
-
-
-def _crossed(rows: np.ndarray, mins: np.ndarray):
-    """Batches of the pairs of one group (node, root, size)."""
-    node, root, size = rows.T
+            columns = [c.to_pylist() for c in batch.columns[:8]]
+            for i, key in enumerate(zip(*columns[:4], strict=True)):
+                if key != now:
+                    yield from _links(now, held)
+                    now, held = key, []
+                held.append((columns[4][i], columns[5][i], columns[6][i], columns[7][i], batch.column(8)[i].as_py()))
+        yield from _links(now, held)
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def _links(key: tuple | None, rows: list[tuple]):
+    """The links of one block of (own, node, root, mins, text)."""
+    if len(rows) < 2:
+        return
+    band, _, a, b = key
+    own, node, root = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    mins = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), BANDS * ROWS)
+    group = np.unique(root, return_inverse=True)[1]
+    sets: list[np.ndarray | None] = [None] * len(rows)
+
+    def of(i: int) -> np.ndarray:
+        if sets[i] is None:
+            sets[i] = shingles(words(rows[i][4]))
+        return sets[i]
+
+    u, v = [], []
     for i in range(len(rows) - 1):
-        s = size[i + 1 :]
-        at = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(s, size[i]) * LEAST[1] >= np.maximum(s, size[i]) * LEAST[0]))
-        at = at[(mins[at] == mins[i]).sum(axis=1) >= AGREE]
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), node[i])), pa.array(node[at])], ["u", "v"])
-
-
-def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Groups (key, node) that hold several components, with each node's root."""
-    rooted = groups.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    w = Window.partitionBy("key")
-    return rooted.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").select("key", "node", "root")
+        fits = group[i + 1 :] != group[i]
+        if a != b:
+            fits &= own[i + 1 :] != own[i]
+        at = i + 1 + np.flatnonzero(fits)
+        if not len(at):
+            continue
+        equal = mins[at] == mins[i]
+        shared = equal.sum(axis=1)
+        # A pair is compared in the first band that it shares.
+        first = equal.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        keep = np.flatnonzero((shared >= AGREE) & first)
+        for j in at[keep[np.argsort(-shared[keep], kind="stable")]]:
+            if group[j] != group[i] and alike(of(i), of(j)):
+                u.append(int(node[i]))
+                v.append(int(node[j]))
+                group[group == group[j]] = group[i]
+    if u:
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, print, component_id, stays for every row of ``docs`` (doc_id, text; others are ignored).
 
     Components are those of the links between texts whose shingles have a Jaccard similarity of LEAST
-    or more; texts without words are alike. ``component_id`` and ``stays`` are as in simhash.near_duplicates.
+    or more. Null and empty texts have no words and are alike; a text of fewer words than a shingle is one
+    shingle; very long texts count whole. ``component_id`` is the least doc_id of the component; null ids
+    don't count, and a component of null ids alone has none. ``stays`` marks the rows to keep: those of
+    the least doc_id, then of the least hash of the text, which repeated rows share. An empty table gives an
+    empty result.
     """
     rows = stored(sketches(docs), "sketches")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
-    nodes = stored(rows.groupBy("node").agg(F.min(own).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("mins").alias("mins")), "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    groups = stored(keyed.where("n > 1").select("key", "node", F.col("node").alias("root")), "groups")
-    compared = groups.select("node").distinct().join(nodes, "node").select("node", F.col("least.doc_id").alias("__id"), F.col("least.print").alias("__print"))
-    found = docs.join(compared, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_print() == F.col("__print")))
-    texts = stored(found.groupBy("node").agg(F.first("text").alias("text")), "compared")
-    links = groups.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    nodes = stored(rows.groupBy("node").agg(F.min(own).alias("least"), F.first("size").alias("size"), F.first("weight").alias("weight"), F.first("mins").alias("mins")), "nodes")
+    members = stored(postings(nodes), "postings")
+    compared = stored(members.select("node").distinct().join(nodes, "node").select("node", F.col("least.doc_id").alias("__id"), F.col("least.print").alias("__print"), "mins"), "compared")
+    found = docs.select("doc_id", "text").join(sized(compared), F.col("doc_id").eqNullSafe(F.col("__id")) & (text_print() == F.col("__print")))
+    texts = stored(found.groupBy("node").agg(F.first("mins").alias("mins"), F.first("text").alias("text")), "texts")
+    links = stored(linked(first_round(members), texts), "links")
+    links = links.union(stored(linked(second_round(members, stored(components(links), "roots")), texts), "links"))
     roots = components(links)
-    for turn in range(STARS + 1):
-        if not groups.limit(1).count():
-            break
-        pairs = star_pairs(groups, turn) if turn < STARS else cross_pairs(groups, nodes)
-        links = links.union(stored(verified(pairs, texts), "links"))
-        roots = stored(components(links), "roots")
-        if turn < STARS:
-            groups = stored(_open(groups, roots), "groups")
     rooted = stored(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
     classes = stored(rooted.join(firsts, "root").select("node", "first"), "classes")

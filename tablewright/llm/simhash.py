@@ -16,18 +16,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, stored, text_print
+from . import near_copies
+from .common import bound_batches, documents, sized, stored, text_print
 from .components import components
+from .near_copies import _LOWER, BLOCK_ROWS, SEED
 
-SEED = 42
 MAX_BITS = 3
 #: Least equal bytes of two fingerprints within MAX_BITS.
 LEAST_BYTES = 8 - MAX_BITS
-BLOCK_ROWS = 4096
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def steiner_blocks() -> list[tuple[int, ...]]:
@@ -98,7 +97,8 @@ def links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     ``block_rows`` is cut into chunks by a hash, and each pair of chunks is a group of its own.
     """
     postings = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks()])).alias("part", "bytes"))
-    held = postings.withColumn("n", F.count("*").over(Window.partitionBy("part", "bytes"))).where("n > 1")
+    lists = stored(postings.groupBy("part", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "posting-lists")
+    held = postings.join(sized(lists), ["part", "bytes"])
     chunks = F.ceil(F.col("n") / block_rows).cast("int")
     dealt = held.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -127,15 +127,18 @@ def _pairs(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, print, fp, component_id, stays for every row of ``docs`` (doc_id, text; others are ignored).
+def near_duplicates(docs: DataFrame, by: str = "bits") -> DataFrame:
+    """doc_id, print, component_id, stays (and fp) for every row of ``docs`` (doc_id, text; others are ignored).
 
-    Texts without words (null, empty, white space) have fingerprint 0 and link like any other. The
-    component id is the least doc_id reachable over links of at most three bits; null ids don't
-    count, and a component of null ids alone has none. ``stays`` marks the row to keep of each
-    component: that of the least doc_id, then of the least hash of the text. Repeated rows give
-    repeated results; an empty table gives an empty result.
+    ``by="bits"`` links fingerprints of at most three differing bits; texts without words (null, empty,
+    white space) have fingerprint 0 and link like any other. ``by="shingles"`` links texts whose five-word
+    shingles have a similarity of 0.8 or more (see :mod:`.near_copies`). Very long texts count whole. The
+    component id is the least doc_id reachable over links; null ids don't count, and a component of null
+    ids alone has none. ``stays`` marks the row to keep of each component: that of the least doc_id, then
+    of the least hash of the text. Repeated rows give repeated results; an empty table gives an empty one.
     """
+    if by == "shingles":
+        return near_copies.near_copies(docs)
     prints = stored(fingerprints(docs), "fingerprints")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
     distinct = stored(prints.groupBy("fp").agg(F.min(own).alias("least")), "distinct-fingerprints")

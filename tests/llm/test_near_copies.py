@@ -52,11 +52,28 @@ def test_stage_against_all_pairs(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(least.values())
 
 
-def test_pairs_left_by_stars(spark, monkeypatch):
-    """Each round of stars alone, none, and groups dealt out in small chunks give the same."""
+def test_rounds_and_blocks(spark, monkeypatch):
+    """Without the first round, and with lists dealt out in blocks of three rows, the result is the same."""
     docs = spark.createDataFrame(made(), "doc_id long, text string").repartition(3)
     want = sorted(map(str, m.near_copies(docs).collect()))
-    cross = m.cross_pairs
-    monkeypatch.setattr(m, "STARS", 0)
-    monkeypatch.setattr(m, "cross_pairs", lambda groups, nodes: cross(groups, nodes, 3))
+    monkeypatch.setattr(m, "BLOCK_ROWS", 3)
     assert sorted(map(str, m.near_copies(docs).collect())) == want
+    monkeypatch.setattr(m, "FIRST_BANDS", 0)
+    assert sorted(map(str, m.near_copies(docs).collect())) == want
+
+
+def test_shingles_and_alike():
+    a, b = (m.shingles(m.words(" ".join(f"w{i}" for i in range(s, s + 44)))) for s in (0, 2))
+    assert len(a) == 40 and m.alike(a, a) and m.alike(a[:0], b[:0]) and not m.alike(a, b[:0])
+    assert m.alike(a, b) == (38 * 5 >= 42 * 4) and m.alike(a, b[:36]) == (34 * 5 >= 42 * 4)
+    assert m.shingles(m.words("A b c d e a b c d E")).tolist() == m.shingles(m.words("a b c d e a b c d e")).tolist()
+    assert len(m.positional_bytes(a)) == len(m.positional_bytes(a[:0])) == m.BANDS * m.ROWS
+    long = m.shingles(m.words(" ".join(str(i) for i in range(5000))))
+    assert len(long) == 4996 and m.positional_bytes(long) != m.positional_bytes(long[:-900])
+
+
+def test_empty_and_clashing_columns(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert m.near_copies(none).count() == 0
+    odd = spark.createDataFrame([(1, "a b", 5, "x"), (None, None, 6, "y")], "doc_id long, text string, node long, mins string")
+    assert sorted((r.doc_id or -1, r.component_id) for r in m.near_copies(odd).collect()) == [(-1, None), (1, 1)]

@@ -20,7 +20,7 @@ def sf_dir(spark, tmp_path):
         rows.append((i, ("!! ".join(words).upper() if i % 4 == 0 else " ".join(words)) + (" vile" * 5 if i % 8 == 1 else ""), "en", "s", 1))
     rows += [(50, rows[5][1], "en", "s", 1), (51, "x " + " ".join(f"bench{i}" for i in range(12)), "en", "s", 1), (None, "no id", "en", None, None), (60, None, None, "s", 0)]
     rows += [(7, rows[7][1], "en", "s", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, score string, _print string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
 
 
@@ -64,5 +64,15 @@ def test_run_and_empty(spark, sf_dir, monkeypatch, tmp_path):
         assert stage(spark, none, sf_dir).count() == 0
 
 
+def test_null_ids_alone_and_long_texts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(quality_cnn, "PASSES", 1)
+    rows = [(None, None), (None, ""), (None, "same text here"), (None, "same text here"), (None, " ".join(f"w{i % 5003}" for i in range(60_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert p.near_duplicates(spark, docs, sf_dir).count() == 3
+    assert p.decontamination(spark, docs, sf_dir).count() == len(rows)
+    assert p.quality(spark, docs, sf_dir).columns == p.mix(spark, docs, sf_dir).columns == docs.columns
+    assert sorted(r.n_tokens for r in p.tokens(spark, docs, sf_dir).collect())[:2] == [1, 1]
+
+
 def test_names():
     assert [len(s) for s in p.STAGES] == [2] * 5 and all(re.fullmatch(r"[\w -]+", n) for n, _ in p.STAGES)
