@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import financial_relevance, looks_numeric, normalize_text, parse_number, safe_ratio
+from ..functions.text import financial_relevance, looks_numeric, normalize_text, safe_ratio
 
 # Fixed values.
 SUM_TOLERANCE = 1e-6
@@ -17,6 +17,15 @@ WARNINGS = {
     "no_periods": "At least one table is missing explicit period headers.",
     "no_unit": "At least one table is missing an explicit unit or scale.",
 }
+ACTIONS = {
+    "no_tables": "Rerun with OCR or remote VLM/hybrid backend to improve table recall.",
+    "failed": "Review failed sum checks and rerun affected pages with stricter parsing.",
+    "numeric": "Apply numeric repair for OCR-confused digits and footnote markers.",
+    "evidence": "Preserve page and bbox evidence for rows missing source references.",
+    "no_unit": "Infer or confirm units from nearby paragraphs and table footnotes.",
+    "no_periods": "Infer or confirm period headers from multi-level table headers.",
+}
+DETAILS = {"unfound": "Referenced component rows were not found in the same table.", "sum": "Component rows match the referenced total row.", "parse": "Numeric-looking cells could not be parsed: ", "present": "Table loaded successfully."}
 # End of fixed values.
 KEY = ["task_id", "table_seq"]
 CHECK = "task_id long, table_seq long, type string, row string, status string, detail string"
@@ -37,8 +46,7 @@ def component_sums(rows: DataFrame, cells: DataFrame, tolerance: float = SUM_TOL
     wanted = rows.select(*KEY, "row_seq", "item", F.explode("components").alias("component")).where(normalize_text("component") != "")
     index = row_index(rows).withColumnRenamed("row_seq", "component_seq")
     linked = wanted.withColumn("label", F.lower(normalize_text("component"))).join(index, [*KEY, "label"], "left")
-    last = Window.partitionBy(*KEY, "row_seq", "period").orderBy(F.desc("cell_index"))
-    values = cells.withColumn("rank", F.row_number().over(last)).where("rank = 1 and value is not null").select(*KEY, "row_seq", "period", "value")
+    values = cells.groupBy(*KEY, "row_seq", "period").agg(F.max_by("value", "cell_index").alias("value")).where("value is not null")
     parts = linked.where("component_seq is not null").join(values.withColumnRenamed("row_seq", "component_seq"), [*KEY, "component_seq"])
     sums = parts.groupBy(*KEY, "row_seq", "period").agg(F.sum("value").alias("total"))
     compared = sums.join(values, [*KEY, "row_seq", "period"]).where(F.abs(F.col("value") - F.col("total")) > tolerance)
@@ -46,27 +54,27 @@ def component_sums(rows: DataFrame, cells: DataFrame, tolerance: float = SUM_TOL
     wrong = compared.groupBy(*KEY, "row_seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("period", text.alias("text")))), lambda x: x["text"]), "; ").alias("wrong"))
     each = linked.groupBy(*KEY, "row_seq", "item").agg(F.count("component_seq").alias("found")).join(wrong, [*KEY, "row_seq"], "left")
     status = F.when(F.col("found") == 0, "warn").when(F.col("wrong").isNotNull(), "fail").otherwise("pass")
-    detail = F.when(F.col("found") == 0, "Referenced component rows were not found in the same table.").otherwise(F.coalesce("wrong", F.lit("Component rows match the referenced total row.")))
+    detail = F.when(F.col("found") == 0, DETAILS["unfound"]).otherwise(F.coalesce("wrong", F.lit(DETAILS["sum"])))
     return each.select(*KEY, F.lit("sum_check").alias("type"), F.col("item").alias("row"), status.alias("status"), detail.alias("detail"))
 
 
 def numeric_parse_checks(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """A warning for each row with cells that look like numbers and aren't parsed; the first five are shown."""
-    odd = cells.where(looks_numeric("raw") & parse_number("raw").isNull())
+    odd = cells.where(F.col("value").isNull() & looks_numeric("raw"))
     shown = odd.groupBy(*KEY, "row_seq").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("cell_index", normalize_text("raw").alias("text")))), lambda x: x["text"]), 1, SHOWN_CELLS).alias("cells"))
-    return shown.join(rows.select(*KEY, "row_seq", "item"), [*KEY, "row_seq"]).select(*KEY, F.lit("numeric_parse").alias("type"), F.col("item").alias("row"), F.lit("warn").alias("status"), F.concat(F.lit("Numeric-looking cells could not be parsed: "), F.array_join("cells", ", ")).alias("detail"))
+    return shown.join(rows.select(*KEY, "row_seq", "item"), [*KEY, "row_seq"]).select(*KEY, F.lit("numeric_parse").alias("type"), F.col("item").alias("row"), F.lit("warn").alias("status"), F.concat(F.lit(DETAILS["parse"]), F.array_join("cells", ", ")).alias("detail"))
 
 
 def verify(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
     """All checks; a table without any other passes as present."""
     some = numeric_parse_checks(rows, cells).unionByName(component_sums(rows, cells))
     present = tables.select(*KEY).join(some.select(*KEY), KEY, "left_anti")
-    return some.unionByName(present.select(*KEY, F.lit("table_presence").alias("type"), F.lit(None).cast("string").alias("row"), F.lit("pass").alias("status"), F.lit("Table loaded successfully.").alias("detail")))
+    return some.unionByName(present.select(*KEY, F.lit("table_presence").alias("type"), F.lit(None).cast("string").alias("row"), F.lit("pass").alias("status"), F.lit(DETAILS["present"]).alias("detail")))
 
 
 def table_diagnostics(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
     """Counts and coverages of each table."""
-    told = cells.where(normalize_text("raw") != "").select(*KEY, looks_numeric("raw").alias("like"), parse_number("raw").isNotNull().alias("parsed"))
+    told = cells.where(normalize_text("raw") != "").select(*KEY, looks_numeric("raw").alias("like"), F.col("value").isNotNull().alias("parsed"))
     of_cells = told.groupBy(*KEY).agg(F.count("*").alias("raw_cell_count"), F.count_if("like").alias("numeric_like_cell_count"), F.count_if(F.col("like") & F.col("parsed")).alias("parsed_numeric_cell_count"))
     items = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("row_seq", normalize_text("item").alias("item")))), 1, TERM_ROWS), lambda x: x["item"]), " ")
     of_rows = rows.groupBy(*KEY).agg(F.count("*").alias("row_count"), F.count_if(F.col("page").isNotNull() | F.col("bbox").isNotNull()).alias("rows_with_evidence"), items.alias("labels"))
@@ -87,12 +95,12 @@ def risk_level(tables: Column, failed: Column, parse_warnings: Column, n_warning
 
 def recommended_actions(tables: Column, failed: Column, parse_warnings: Column, no_unit: Column, no_periods: Column, numeric: Column, evidence: Column) -> Column:
     return F.array_compact(F.array(
-        F.when(tables == 0, "Rerun with OCR or remote VLM/hybrid backend to improve table recall."),
-        F.when(failed > 0, "Review failed sum checks and rerun affected pages with stricter parsing."),
-        F.when((parse_warnings > 0) | (numeric < NUMERIC_GOOD), "Apply numeric repair for OCR-confused digits and footnote markers."),
-        F.when(evidence < EVIDENCE_GOOD, "Preserve page and bbox evidence for rows missing source references."),
-        F.when(no_unit, "Infer or confirm units from nearby paragraphs and table footnotes."),
-        F.when(no_periods, "Infer or confirm period headers from multi-level table headers."),
+        F.when(tables == 0, ACTIONS["no_tables"]),
+        F.when(failed > 0, ACTIONS["failed"]),
+        F.when((parse_warnings > 0) | (numeric < NUMERIC_GOOD), ACTIONS["numeric"]),
+        F.when(evidence < EVIDENCE_GOOD, ACTIONS["evidence"]),
+        F.when(no_unit, ACTIONS["no_unit"]),
+        F.when(no_periods, ACTIONS["no_periods"]),
     ))
 
 
@@ -119,6 +127,20 @@ def quality(tasks: DataFrame, diagnostics: DataFrame, checks: DataFrame) -> Data
     )
 
 
-def summary(q: DataFrame) -> DataFrame:
-    """A sentence for each task's quality."""
-    return q.select("task_id", F.format_string("Structured %d tables and %d rows; %d checks passed, %d failed, %d warnings; risk %s.", "table_count", "row_count", "passed_count", "failed_count", "warning_count", "risk_level").alias("summary"))
+def quality_summary(q: DataFrame) -> DataFrame:
+    """What a trace tells of a quality record."""
+    return q.select("task_id", "failed_count", "warning_count", "risk_level", "table_count", "numeric_parse_coverage", "evidence_coverage")
+
+
+def attach_context(q: DataFrame, context: DataFrame, report: DataFrame) -> DataFrame:
+    """``q`` with shared_context and cross_file_checks as structs, null for tasks without."""
+    packed = lambda d, name: d.select("task_id", F.struct(*[c for c in d.columns if c != "task_id"]).alias(name))
+    return q.join(packed(context, "shared_context"), "task_id", "left").join(packed(report, "cross_file_checks"), "task_id", "left")
+
+
+def summary(q: DataFrame, repairs: DataFrame) -> DataFrame:
+    """A sentence for each task, from its quality and its repair log (task_id, repair_count)."""
+    n = F.coalesce("repair_count", F.lit(0))
+    rate = F.format_string("%.2f%%", F.col("validation_pass_rate") * 100)
+    said = F.format_string("Parsed %d tables with %d rows. Validation pass rate: %s. Warnings: %d; failures: %d; repairs: %d.", "table_count", "row_count", rate, "warning_count", "failed_count", n)
+    return q.join(repairs.select("task_id", "repair_count"), "task_id", "left").select("task_id", said.alias("summary"))

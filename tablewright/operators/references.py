@@ -39,13 +39,16 @@ def score(kind: Column, period: Column, page: Column, phrase: Column) -> Column:
 def resolve(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     """The best candidate of each mention (task_id, mention_id, kind, phrase, year, mention_page), if it has enough points.
 
-    The join is within a task, and only candidates whose kind or period could reach the least score
-    take part: without either, nearness and a word give at most 2.5. Ties go to the later page (0 as
-    none), then to the first candidate.
+    Only candidates whose kind or period agrees could reach the least score (without either, nearness and
+    a word give at most 2.5), so mentions meet candidates by (task, kind) and by (task, period) alone.
+    Ties go to the later page (0 as none), then to the first candidate.
     """
     m = mentions.select("task_id", "mention_id", F.col("kind").alias("m_kind"), F.col("phrase").alias("m_phrase"), F.col("year").alias("m_year"), F.col("mention_page").alias("m_page"))
-    could = (F.col("metric_kind") == F.col("m_kind")) | ((F.col("m_kind") == "amount") & F.col("metric_kind").isin(*AMOUNT_KINDS)) | ((F.col("m_year") != "") & (F.col("period") == F.col("m_year")))
-    scored = m.join(candidates, "task_id").where(could).withColumn("score", score(F.col("m_kind"), F.col("m_year"), F.col("m_page"), F.col("m_phrase")))
+    kinds = F.when(F.col("m_kind") == "amount", F.array(*[F.lit(k) for k in AMOUNT_KINDS])).otherwise(F.array("m_kind"))
+    by_kind = m.withColumn("metric_kind", F.explode(kinds)).join(candidates, ["task_id", "metric_kind"])
+    of_kind = F.array_contains(kinds, F.col("metric_kind"))
+    by_year = m.where("m_year <> ''").withColumn("period", F.col("m_year")).join(candidates, ["task_id", "period"]).where(~of_kind)
+    scored = by_kind.unionByName(by_year).withColumn("score", score(F.col("m_kind"), F.col("m_year"), F.col("m_page"), F.col("m_phrase")))
     page = F.when(F.coalesce("page", F.lit(0)) == 0, -1).otherwise(F.col("page"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("task_id", "mention_id").orderBy(F.desc("score"), F.desc(page), "cand_seq"))).where((F.col("rank") == 1) & (F.col("score") >= LEAST_SCORE))
     return best.withColumn("confidence", F.round(F.least(F.lit(MOST_CONFIDENCE), BASE_CONFIDENCE + F.col("score") / SCORE_UNIT), 2)).drop("rank")
@@ -55,11 +58,11 @@ def reference_tables(blocks: DataFrame, t):
     """A table of resolved references for each task that has any, as :class:`.structure.Tables`."""
     from .structure import Tables
 
-    said = blocks.where("not is_table and not is_chart").withColumn("m", F.explode(reference_mentions("block_text")))
-    order = Window.partitionBy("task_id").orderBy("block_seq", "m.kind", "m.phrase")
+    said = blocks.where("not is_table and not is_chart").select("*", F.posexplode(reference_mentions("block_text")).alias("m_pos", "m"))
+    order = Window.partitionBy("task_id").orderBy("block_seq", "m_pos")
     mentions = said.select("task_id", F.row_number().over(order).alias("mention_id"), F.col("m.kind").alias("kind"), F.col("m.phrase").alias("phrase"), year_from_text("block_text").alias("year"), F.col("page_idx").alias("mention_page"), "bbox")
     found = resolve(mentions, metric_candidates(t.tables, t.rows, t.cells)).join(mentions.select("task_id", "mention_id", "bbox"), ["task_id", "mention_id"])
-    keyed = found.withColumn("table_seq", F.lit(3_000_000).cast("long")).withColumn("row_seq", (F.row_number().over(Window.partitionBy("task_id").orderBy("mention_id")) - 1).cast("int"))
+    keyed = found.withColumn("table_seq", F.lit(0).cast("long")).withColumn("row_seq", (F.row_number().over(Window.partitionBy("task_id").orderBy("mention_id")) - 1).cast("int"))
     rows = keyed.select("task_id", "table_seq", "row_seq", F.col("m_phrase").alias("item"), F.lit("global_reference").alias("row_type"), F.array("label").alias("components"), F.col("m_page").alias("page"), "bbox")
     pairs = F.array(F.struct(F.lit("resolved_value").alias("period"), F.col("value").cast("string").alias("raw"), F.col("value").alias("value")), F.struct(F.lit("confidence").alias("period"), F.format_string("%.2f", F.col("confidence")).alias("raw"), F.col("confidence").alias("value")))
     cells = keyed.select("task_id", "table_seq", "row_seq", F.posexplode(pairs).alias("cell_index", "p")).select("task_id", "table_seq", "row_seq", "cell_index", "p.*")

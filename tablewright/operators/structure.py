@@ -8,6 +8,7 @@ context or merge; ``parity=True`` treats all inputs of a task as one list of blo
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,16 +206,16 @@ def chart_tables(blocks: DataFrame) -> Tables:
     pairs = pairs.when(as_map.isNotNull(), F.transform(F.map_entries(as_map), lambda e: F.struct(normalize_text(e["key"]).alias("period"), e["value"].alias("raw"))))
     pairs = pairs.when(one.isNotNull(), F.array(F.struct(F.lit("value").alias("period"), one.alias("raw"))))
     drawn = series.where(F.schema_of_variant("row").startswith("OBJECT")).withColumn("pairs", pairs).where(F.size("pairs") > 0)
-    s_rows = drawn.select(*keys, F.col("pos").alias("row_seq"), F.coalesce(F.nullif(of("name", "label", "metric"), F.lit("")), F.concat(F.lit("series_"), F.col("pos").cast("string"))).alias("item"), F.concat(F.lit("chart_"), F.col("chart_type")).alias("row_type"), "page_idx", "pairs")
+    s_rows = drawn.select(*keys, F.lit(0).alias("of"), "pos", F.coalesce(F.nullif(of("name", "label", "metric"), F.lit("")), F.concat(F.lit("series_"), F.col("pos").cast("string"))).alias("item"), F.concat(F.lit("chart_"), F.col("chart_type")).alias("row_type"), "page_idx", "pairs")
     # A zero, like an empty value, gives way to the next key.
     filled = lambda k: F.nullif(F.nullif(_get(k, "string", "row"), F.lit("")), F.lit("0"))
     value = F.coalesce(filled("value"), filled("amount"), filled("percent"))
     period = F.coalesce(F.nullif(of("period", "metric_period"), F.lit("")), F.lit("annotation_value"))
     noted = notes.where(F.schema_of_variant("row").startswith("OBJECT")).where(parse_number(value).isNotNull())
-    n_rows = noted.select(*keys, (F.col("pos") + 1_000_000).alias("row_seq"), F.coalesce(F.nullif(of("label", "metric", "text"), F.lit("")), F.concat(F.lit("annotation_"), F.col("pos").cast("string"))).alias("item"), F.lit("chart_annotation").alias("row_type"), "page_idx", F.array(F.struct(period.alias("period"), value.alias("raw"))).alias("pairs"))
+    n_rows = noted.select(*keys, F.lit(1).alias("of"), "pos", F.coalesce(F.nullif(of("label", "metric", "text"), F.lit("")), F.concat(F.lit("annotation_"), F.col("pos").cast("string"))).alias("item"), F.lit("chart_annotation").alias("row_type"), "page_idx", F.array(F.struct(period.alias("period"), value.alias("raw"))).alias("pairs"))
     every = s_rows.unionByName(n_rows)
-    order = Window.partitionBy(*keys).orderBy("row_seq")
-    every = every.withColumn("row_seq", (F.row_number().over(order) - 1).cast("int"))
+    order = Window.partitionBy(*keys).orderBy("of", "pos")
+    every = every.withColumn("row_seq", (F.row_number().over(order) - 1).cast("int")).drop("of", "pos")
     cells = every.select(*keys, "row_seq", F.posexplode("pairs").alias("cell_index", "p")).select(*keys, "row_seq", "cell_index", F.col("p.period").alias("period"), F.col("p.raw").alias("raw"), parse_number("p.raw").alias("value"))
     labels = every.groupBy(*keys).agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("row_seq", F.transform("pairs", lambda p: p["period"]).alias("ps")))), lambda x: x["ps"]))).alias("seen"))
     tables = named.join(labels, keys).select(
@@ -235,21 +236,23 @@ def narrative_metrics(texts: DataFrame) -> DataFrame:
     return texts.withColumn("m", F.explode(F.array_compact(F.array(*rows)))).select(*texts.columns, "m.*")
 
 
-def union_tables(*parts: Tables) -> Tables:
-    """Tables of several sources; keys must differ."""
-    from functools import reduce
+def stack_tables(*parts: Tables) -> Tables:
+    """Tables of several sources, numbered on within each task: all of the first source, then of the second, ..."""
+    every = {k: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [getattr(p, k).withColumn("part", F.lit(i)) for i, p in enumerate(parts)]) for k in ("tables", "rows", "cells")}
+    order = Window.partitionBy("task_id").orderBy("part", "table_seq")
+    numbered = every["tables"].withColumn("new_seq", F.row_number().over(order).cast("long") - 1)
+    to = numbered.select("task_id", "part", "table_seq", "new_seq")
 
-    return Tables(*[reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [getattr(p, k) for p in parts]) for k in ("tables", "rows", "cells")])
+    def moved(d: DataFrame) -> DataFrame:
+        return d.join(to, ["task_id", "part", "table_seq"]).withColumn("table_seq", F.col("new_seq")).drop("part", "new_seq")
 
-
-def _shift(t: Tables, by: int) -> Tables:
-    return Tables(*[d.withColumn("table_seq", F.col("table_seq") + by) for d in (t.tables, t.rows, t.cells)])
+    return Tables(numbered.withColumn("table_seq", F.col("new_seq")).drop("part", "new_seq"), moved(every["rows"]), moved(every["cells"]))
 
 
 def narrative_tables(blocks: DataFrame, with_tables: DataFrame) -> Tables:
     """One table of narrative metrics for each task that isn't in ``with_tables`` (task_id) and states any."""
     keys = ["task_id", "table_seq"]
-    src = blocks.where("not is_table").join(with_tables, "task_id", "left_anti").withColumn("table_seq", F.lit(2_000_000).cast("long"))
+    src = blocks.where("not is_table").join(with_tables, "task_id", "left_anti").withColumn("table_seq", F.lit(0).cast("long"))
     told = narrative_metrics(src.select(*keys, "block_seq", "page_idx", "bbox", "block_text"))
     order = Window.partitionBy(*keys).orderBy("block_seq", "item")
     rows = told.withColumn("row_seq", (F.row_number().over(order) - 1).cast("int"))
@@ -274,9 +277,7 @@ def materialize_tables(blocks: DataFrame, parity: bool = False) -> Tables:
 
     scope = ["task_id"] if parity or "input_index" not in blocks.columns else ["task_id", "input_index"]
     ready = checkpointed(carry_context(block_texts(classify(blocks)), scope))
-    structured = merge_cross_page(normalize_tables(ready))
-    charts = chart_tables(ready)
-    both = _cut_lineage(union_tables(structured, _shift(charts, 1_000_000)))
+    both = _cut_lineage(stack_tables(merge_cross_page(normalize_tables(ready)), chart_tables(ready)))
     told = narrative_tables(ready, both.tables.select("task_id").distinct())
-    every = _cut_lineage(union_tables(both, told))
-    return union_tables(every, reference_tables(ready, every))
+    every = _cut_lineage(stack_tables(both, told))
+    return stack_tables(every, reference_tables(ready, every))

@@ -240,7 +240,7 @@ def table_presence_antijoin(spark, sf_dir):
 
 @query(f"SELECT l_orderkey, l_linenumber, {CENTS} AS value_cents, 'ocr_digit_confusion' AS reason FROM lineitem WHERE regexp_matches({PLAIN}, '[01]') AND regexp_matches({PLAIN}, '[2-9]')")
 def ocr_repair_digits(spark, sf_dir):
-    df = lines(spark, sf_dir).withColumn("fix", repair.candidate(F.translate("plain", "01", "Ol"), F.lit("USD")))
+    df = repair.with_fix(lines(spark, sf_dir), F.translate("plain", "01", "Ol"), F.lit("USD"))
     return df.where("fix is not null").select("l_orderkey", "l_linenumber", F.round(F.col("fix.value") * 100).cast("long").alias("value_cents"), F.col("fix.reason").alias("reason"))
 
 
@@ -248,7 +248,7 @@ def ocr_repair_digits(spark, sf_dir):
 def unit_suffix_repair(spark, sf_dir):
     k = F.col("l_linenumber") % 3
     damaged = F.when(k == 0, F.concat("plain", F.lit(" usd"))).when(k == 1, F.concat("plain", F.lit("百万元"))).otherwise(F.concat(F.lit("O"), "plain", F.lit(" 人民币")))
-    df = lines(spark, sf_dir).withColumn("fix", repair.candidate(damaged, F.when(k == 0, "USD million").otherwise("单位 人民币百万元")))
+    df = repair.with_fix(lines(spark, sf_dir), damaged, F.when(k == 0, "USD million").otherwise("单位 人民币百万元"))
     return df.where("fix is not null").select("l_orderkey", "l_linenumber", F.round(F.col("fix.value") * 100).cast("long").alias("value_cents"), F.col("fix.reason").alias("reason"))
 
 
