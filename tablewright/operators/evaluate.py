@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ci
+from ..functions.text import contains_ci, normalize_text
 
 # Fixed values.
 THRESHOLDS = [("min_table_count", "table_count", ">="), ("min_row_count", "row_count", ">="), ("max_failed_count", "failed_count", "<="), ("max_warning_count", "warning_count", "<="), ("min_validation_pass_rate", "validation_pass_rate", ">=")]
+LAYOUT_METRICS = ["header_precision", "header_recall", "row_precision", "row_recall", "numeric_exact_match", "cross_page_merge_accuracy", "unit_inheritance_accuracy"]
+METRIC_TOLERANCE = 1e-6
 # End of fixed values.
 
 
@@ -94,24 +96,20 @@ def method_summary(reports: DataFrame, sums: list[str], means: list[str]) -> Dat
 
 
 def method_delta(summary: DataFrame, left: str, right: str, columns: list[str]) -> DataFrame:
-    """left minus right of each column; null where either is."""
-    a, b = summary.where(F.col("method") == left), summary.where(F.col("method") == right)
-    joined = a.select(*[F.col(c).alias(f"l_{c}") for c in columns]).join(b.select(*[F.col(c).alias(f"r_{c}") for c in columns]), how="full", on=F.lit(True))
-    return joined.select(*[F.round(F.col(f"l_{c}") - F.col(f"r_{c}"), 4).alias(c) for c in columns])
+    """left minus right of each column in one row; null where either is."""
+    of = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
+    return summary.agg(*[F.round(of(left, c) - of(right, c), 4).alias(c) for c in columns])
 
 
 def soak_stats(runs: DataFrame, key: str, value: str) -> DataFrame:
-    """key, n, least, median, mean, p95 (nearest rank), most of a value. The rank comes from a sort that can spill."""
-    told = runs.where(F.col(value).isNotNull())
+    """key, n, least, median, mean, p95 (nearest rank, halves to even), most of a value. Values are counted before they are ranked."""
+    counts = runs.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("x")).agg(F.count("*").alias("c"))
     of_key = Window.partitionBy(key)
-    ranked = told.select(key, F.col(value).alias("x"), F.row_number().over(of_key.orderBy(value)).alias("rank"), F.count("*").over(of_key).alias("size"))
-    at_p95 = F.col("rank") == F.bround((F.col("size") - 1) * F.lit(0.95), 0) + 1
-    g = ranked.groupBy(key).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.median("x").alias("median"), F.round(F.avg("x"), 4).alias("mean"), F.max(F.when(at_p95, F.col("x"))).alias("p95"), F.max("x").alias("most"))
-    return g.select(key, "n", "least", "median", "mean", "p95", "most")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    ranked = counts.withColumn("upto", F.sum("c").over(of_key.orderBy("x"))).withColumn("n", F.sum("c").over(of_key))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("x")))
+    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
+    p95 = at(F.bround((F.col("n") - 1) * F.lit(0.95), 0) + 1)
+    return ranked.groupBy(key).agg(F.sum("c").alias("n"), F.min("x").alias("least"), middle.alias("median"), F.round(F.sum(F.col("x") * F.col("c")) / F.sum("c"), 4).alias("mean"), p95.alias("p95"), F.max("x").alias("most"))
 
 
 def first_containing(tables: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -119,3 +117,149 @@ def first_containing(tables: DataFrame, tokens: DataFrame) -> DataFrame:
     hit = tokens.join(tables.select("task_id", "table_seq", "name", "title"), "task_id").where(contains_ci("name", "token") | contains_ci("title", "token"))
     rank = F.row_number().over(Window.partitionBy("task_id", "token").orderBy("table_seq"))
     return hit.withColumn("rank", rank).where("rank = 1").select("task_id", "token", "table_seq")
+
+
+def metric_cells(t) -> DataFrame:
+    """The cells of :class:`.structure.Tables` as :func:`required_metrics` takes them. Evidence is a page or box of the row or the table."""
+    row, table = ["task_id", "table_seq", "row_seq"], ["task_id", "table_seq"]
+    r = t.rows.select(*row, "item", (F.col("page").isNotNull() | F.col("bbox").isNotNull()).alias("row_told"))
+    h = t.tables.select(*table, F.col("name").alias("table"), "title", "unit", (F.col("page_start").isNotNull() | F.col("bbox").isNotNull()).alias("table_told"))
+    each = t.cells.join(r, row).join(h, table)
+    return each.select("task_id", "table", "title", "unit", "item", "period", "value", (F.col("row_told") | F.col("table_told")).alias("has_evidence"), F.struct("table_seq", "row_seq", "cell_index").alias("seq"))
+
+
+def evaluate_results(t, quality: DataFrame, expected: DataFrame, tokens: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Checks (task_id, name, what, status) and scores of results against expectations.
+
+    ``expected`` has task_id and a column for each threshold, ``tokens`` (task_id, token) names required tables,
+    ``metrics`` is as in :func:`required_metrics`. A task passes if all its checks do; one without checks
+    scores 1.
+    """
+    limits = threshold_checks(quality, expected).select("task_id", "name", F.col("expected").cast("string").alias("what"), "status")
+    named = required_tables(t.tables, tokens).select("task_id", F.lit("required_table").alias("name"), F.col("token").alias("what"), "status")
+    found = required_metrics(metric_cells(t), metrics).join(metrics.select("metric_id", "task_id"), "metric_id").select("task_id", F.lit("required_metric").alias("name"), F.col("metric_id").cast("string").alias("what"), "status")
+    checks = limits.unionByName(named).unionByName(found)
+    scores = expected.select("task_id").distinct().join(score(checks), "task_id", "left").fillna(0, ["passed_count", "check_count"])
+    return checks, scores.withColumns({"score": F.coalesce("score", F.lit(1.0)), "status": F.coalesce("status", F.lit("pass"))})
+
+
+def expectations_of(results: DataFrame, expected: DataFrame, key: str | None = None) -> DataFrame:
+    """``expected`` (task_key, ...) of each result (task_id, task_name): by ``key``, else by task_name, else by task_id."""
+    wanted = F.lit(key) if key else F.coalesce(F.nullif(F.col("task_name"), F.lit("")), F.col("task_id").cast("string"))
+    return results.select("task_id", wanted.alias("task_key")).join(expected, "task_key").drop("task_key")
+
+
+def method_row(quality: DataFrame, scores: DataFrame, method: str) -> DataFrame:
+    """task_id, method, what quality and score say: a line of a benchmark's or an adversarial summary."""
+    s = scores.select("task_id", *[F.col(c).alias(f"expectation_{c}") for c in ("score", "status", "passed_count", "check_count")])
+    kept = ["table_count", "row_count", "failed_count", "warning_count", "validation_pass_rate", "numeric_parse_coverage", "evidence_coverage", "financial_table_count"]
+    return quality.select("task_id", F.lit(method).alias("method"), *kept).join(s, "task_id", "left")
+
+
+def required_metric_counts(checks: DataFrame) -> DataFrame:
+    """task_id, required_metric_count, required_metric_passed."""
+    of = checks.where("name = 'required_metric'").groupBy("task_id")
+    return of.agg(F.count("*").alias("required_metric_count"), F.count_if(F.col("status") == "pass").alias("required_metric_passed"))
+
+
+def case_tables(tables: DataFrame, cases: DataFrame) -> DataFrame:
+    """``cases`` (case_id, task_id, expected_table, ...) with the first table whose name or title has expected_table; null without."""
+    hits = first_containing(tables, cases.select("task_id", F.col("expected_table").alias("token")).distinct()).withColumnRenamed("token", "expected_table")
+    return cases.join(hits, ["task_id", "expected_table"], "left")
+
+
+def _label(c: str) -> Column:
+    return F.lower(normalize_text(c))
+
+
+def layout_report(t, cases: DataFrame, periods: DataFrame, rows: DataFrame, values: DataFrame) -> DataFrame:
+    """case_id, seven metrics and status of layout cases.
+
+    ``cases`` has case_id, task_id, expected_table, expected_unit, page_start, page_end; ``periods`` and ``rows``
+    (case_id, label), ``values`` (case_id, row, period, value, tolerance) what is expected. A metric without
+    expectations is null; a case passes if no metric is below 1. A case whose table isn't found has matches of 0.
+    """
+    found = case_tables(t.tables, cases)
+    of = found.select("case_id", "task_id", "table_seq")
+    have_periods = of.join(t.tables.select("task_id", "table_seq", F.explode("periods").alias("p")), ["task_id", "table_seq"]).select("case_id", _label("p").alias("label"))
+    have_rows = of.join(t.rows, ["task_id", "table_seq"]).select("case_id", _label("item").alias("label"), "task_id", "table_seq", "row_seq")
+    ratio = lambda d, head: d.select("case_id", F.col("precision").alias(f"{head}_precision"), F.col("recall").alias(f"{head}_recall"))
+    told = lambda d: d.select("case_id", _label("label").alias("label"))
+    header = ratio(set_match(told(periods), have_periods, "case_id", "label"), "header")
+    lines = ratio(set_match(told(rows), have_rows.select("case_id", "label"), "case_id", "label"), "row")
+    last = have_rows.groupBy("case_id", "label").agg(F.max_by(F.struct("task_id", "table_seq", "row_seq"), "row_seq").alias("r")).select("case_id", "label", "r.*")
+    seen = last.join(t.cells, ["task_id", "table_seq", "row_seq"]).groupBy("case_id", "label", "period").agg(F.max_by("value", "cell_index").alias("seen"))
+    want = values.select("case_id", _label("row").alias("label"), "period", "value", F.coalesce("tolerance", F.lit(0.0)).alias("tolerance"))
+    exact = want.join(seen, ["case_id", "label", "period"], "left").groupBy("case_id").agg(F.round(F.count_if(F.coalesce(F.abs(F.col("seen") - F.col("value")) <= F.col("tolerance"), F.lit(False))) / F.count("*"), 4).alias("numeric_exact_match"))
+    held = found.join(t.tables.select("task_id", "table_seq", "unit", F.col("page_start").alias("at"), F.col("page_end").alias("to")), ["task_id", "table_seq"], "left")
+    paged = F.col("page_start").isNotNull() | F.col("page_end").isNotNull()
+    span = F.col("at").eqNullSafe(F.col("page_start")) & F.col("to").eqNullSafe(F.col("page_end"))
+    of_unit = F.col("table_seq").isNotNull() & contains_ci("unit", "expected_unit")
+    each = held.select("case_id", F.when(paged, F.when(span, 1.0).otherwise(0.0)).alias("cross_page_merge_accuracy"), F.when(normalize_text("expected_unit") != "", F.when(of_unit, 1.0).otherwise(0.0)).alias("unit_inheritance_accuracy"))
+    every = each.join(header, "case_id", "left").join(lines, "case_id", "left").join(exact, "case_id", "left")
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.col(m) >= 1, F.lit(True)) for m in LAYOUT_METRICS])
+    return every.select("case_id", *LAYOUT_METRICS, F.when(whole, "pass").otherwise("fail").alias("status"))
+
+
+def aggregate_cases(cases: DataFrame, means: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """One row: status, case_count, passed_count, means that ignore nulls, sums."""
+    passed = F.count_if(F.col("status") == "pass")
+    return cases.agg(F.when(passed == F.count("*"), "pass").otherwise("fail").alias("status"), F.count("*").alias("case_count"), passed.alias("passed_count"), *[F.round(F.avg(m), 4).alias(m) for m in means], *[F.sum(c).alias(c) for c in sums])
+
+
+def edge_checks(t, cases: DataFrame, metrics: DataFrame, periods: DataFrame, forbidden: DataFrame, flags: DataFrame, warnings: DataFrame, observed: DataFrame) -> DataFrame:
+    """case_id, name, what, status: all checks of edge cases (case_id, task_id, expected_table, expected_warning_type).
+
+    Expected are ``metrics`` (case_id, row, period, value), ``periods`` (case_id, label), ``forbidden``
+    (case_id, token) and ``flags`` (case_id, flag, expected); seen are ``warnings`` (task_id, type) and
+    ``observed`` flags (task_id, flag, value). Without its table a case's metrics fail, its forbidden rows and periods pass.
+    """
+    found = case_tables(t.tables, cases)
+    of = found.select("case_id", "task_id", "table_seq")
+    verdict = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail").alias("status")
+    check = lambda d, name, what, ok: d.select("case_id", F.lit(name).alias("name"), F.col(what).cast("string").alias("what"), verdict(ok))
+    there = check(found, "table_found", "expected_table", F.col("table_seq").isNotNull())
+    rows = of.join(t.rows, ["task_id", "table_seq"]).select("case_id", "task_id", "table_seq", "row_seq", "item", _label("item").alias("label"))
+    last = rows.groupBy("case_id", "label").agg(F.max_by(F.struct("task_id", "table_seq", "row_seq"), "row_seq").alias("r")).select("case_id", "label", "r.*")
+    seen = last.join(t.cells, ["task_id", "table_seq", "row_seq"]).groupBy("case_id", "label", "period").agg(F.max_by("value", "cell_index").alias("seen"))
+    told = metrics.withColumn("label", _label("row")).join(seen, ["case_id", "label", "period"], "left")
+    exact = check(told, "required_metric", "row", F.abs(F.col("seen") - F.col("value")) <= METRIC_TOLERANCE)
+    warned = found.join(warnings.select("task_id", F.col("type").alias("expected_warning_type"), F.lit(True).alias("hit")).distinct(), ["task_id", "expected_warning_type"], "left")
+    warning = check(warned, "warning_type", "expected_warning_type", F.col("hit") | (F.coalesce("expected_warning_type", F.lit("")) == ""))
+    equal = flags.join(of, "case_id").join(observed, ["task_id", "flag"], "left")
+    flag = check(equal, "edge_flag", "flag", F.col("value") == F.col("expected"))
+    hits = forbidden.join(rows, "case_id", "left").groupBy("case_id", "token").agg(F.bool_or(F.coalesce(F.contains("label", F.lower("token")), F.lit(False))).alias("hit"))
+    noise = check(hits, "forbidden_row", "token", ~F.col("hit"))
+    have = found.join(t.tables.select("task_id", "table_seq", F.transform("periods", lambda p: F.lower(normalize_text(p))).alias("have")), ["task_id", "table_seq"], "left").select("case_id", "have")
+    asked = periods.join(have, "case_id")
+    period = check(asked, "expected_period", "label", F.col("have").isNull() | F.array_contains("have", _label("label")))
+    return reduce(DataFrame.unionByName, [there, exact, warning, flag, noise, period])
+
+
+def edge_report(checks: DataFrame) -> DataFrame:
+    """case_id, status, required_metric_accuracy (1 without any), check_count."""
+    metric = F.col("name") == "required_metric"
+    g = checks.groupBy("case_id").agg(F.count("*").alias("check_count"), F.count_if(F.col("status") == "fail").alias("fails"), F.count_if(metric).alias("required_metric_count"), F.count_if(metric & (F.col("status") == "pass")).alias("required_metric_passed"))
+    accuracy = F.when(F.col("required_metric_count") == 0, 1.0).otherwise(F.round(F.col("required_metric_passed") / F.nullif(F.col("required_metric_count"), F.lit(0)), 4))
+    return g.select("case_id", F.when(F.col("fails") == 0, "pass").otherwise("fail").alias("status"), "check_count", "required_metric_count", "required_metric_passed", accuracy.alias("required_metric_accuracy"))
+
+
+def soak_report(runs: DataFrame) -> DataFrame:
+    """One row on many runs of alike tasks: how many succeeded, how long they took, and whether their outputs agree.
+
+    ``runs`` has task_id, status, elapsed, table_count, row_count, failed_count, warning_count,
+    numeric_parse_coverage, evidence_coverage, plan_exists, trace_exists, result_exists, result_hash.
+    """
+    done = F.col("status") == "succeeded"
+    kept = F.col("plan_exists") & F.col("trace_exists") & F.col("result_exists")
+    shape = F.struct("table_count", "row_count", "failed_count", "warning_count", "numeric_parse_coverage", "evidence_coverage")
+    rounded = lambda c: F.round(c, 4)
+    g = runs.agg(
+        F.count("*").alias("task_count"), F.count_if(done).alias("succeeded_count"), F.count_if(~done).alias("failed_task_count"), rounded(F.count_if(done) / F.nullif(F.count("*"), F.lit(0))).alias("success_rate"),
+        rounded(F.count_if(kept) / F.nullif(F.count("*"), F.lit(0))).alias("artifact_coverage"), F.count_distinct(F.when(done, F.col("result_hash"))).alias("unique_result_hash_count"), F.count_distinct(F.when(done, shape)).alias("output_shape_count"),
+        F.sum("table_count").alias("total_tables"), F.sum("row_count").alias("total_rows"), F.sum("failed_count").alias("hard_failures"),
+    )
+    times = soak_stats(runs.withColumn("k", F.lit(1)), "k", "elapsed").select(*[rounded(F.col(c)).alias(f"elapsed_{c}") for c in ("least", "median", "mean", "p95", "most")])
+    ok = (F.col("success_rate") == 1) & (F.col("artifact_coverage") == 1)
+    one = g.withColumn("k", F.lit(1)).join(times.withColumn("k", F.lit(1)), "k", "left").drop("k")
+    return one.withColumns({"status": F.when(ok, "pass").otherwise("fail"), "shape_consistency": F.when(F.col("output_shape_count") == 1, 1.0).otherwise(0.0)})

@@ -178,16 +178,6 @@ def row_index_last_wins(spark, sf_dir):
     return quality.row_index(rows).drop("table_seq")
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, metric, CAST(round(value * 100) AS BIGINT) AS cents FROM (
-  SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS metric, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem)
-""")
-def unpivot_cells(spark, sf_dir):
-    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", *names)
-    return li.unpivot(["l_orderkey", "l_linenumber"], names, "metric", "value").select("l_orderkey", "l_linenumber", "metric", F.round(F.col("value") * 100).cast("long").alias("cents"))
-
-
 def _statement(spark, sf_dir):
     """Each order as a table: a row for each line, and a total that is a cent too high in every seventh order."""
     from pyspark.sql import Window
@@ -464,8 +454,12 @@ def trace_filter(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import task_queries  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import task_queries  # noqa: F401
+
     return dict(ORACLES)

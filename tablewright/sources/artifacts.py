@@ -41,7 +41,8 @@ def read_json_artifacts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _kind(v: str) -> str:
-    return f"CASE WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN 'array' WHEN schema_of_variant({v}) LIKE 'OBJECT%' THEN 'object' ELSE 'scalar' END"
+    """array, object or scalar, without a look inside."""
+    return f"CASE WHEN try_variant_get({v}, '$', 'array<variant>') IS NOT NULL THEN 'array' WHEN try_variant_get({v}, '$', 'map<string,variant>') IS NOT NULL THEN 'object' ELSE 'scalar' END"
 
 
 def _numbered(blocks: DataFrame) -> DataFrame:
@@ -57,15 +58,13 @@ def flatten_v2(artifacts: DataFrame) -> DataFrame:
 
     The page's place is the page number of blocks without their own. A file that is one block has no page.
     """
-    spark = artifacts.sparkSession
-    rows = spark.sql(
+    # One element for each page, wherever it comes from, and one block for each element: a file is parsed once.
+    listed = lambda v, other: f"CASE {_kind(v)} WHEN 'array' THEN try_variant_get({v}, '$', 'array<variant>') WHEN 'object' THEN {other} END"
+    rows = artifacts.sparkSession.sql(
         f"""
         WITH file AS (SELECT task_id, try_parse_json(json) AS v FROM {{a}}),
-        page AS (SELECT f.task_id, p.pos AS page_pos, p.value AS v FROM file f, LATERAL variant_explode(f.v) p WHERE {_kind("f.v")} = 'array'),
-        block AS (
-          SELECT g.task_id, g.page_pos, b.pos AS block_pos, g.page_pos AS page, b.value AS v FROM page g, LATERAL variant_explode(g.v) b WHERE {_kind("g.v")} = 'array'
-          UNION ALL SELECT task_id, page_pos, 0, page_pos, v FROM page WHERE {_kind("v")} = 'object'
-          UNION ALL SELECT task_id, 0, 0, NULL, v FROM file WHERE {_kind("v")} = 'object')
+        page AS (SELECT task_id, {_kind("v")} = 'object' AS single, posexplode({listed("v", "array(v)")}) AS (page_pos, v) FROM file),
+        block AS (SELECT task_id, page_pos, CASE WHEN single THEN NULL ELSE page_pos END AS page, posexplode({listed("v", "array(v)")}) AS (block_pos, v) FROM page)
         SELECT task_id, page_pos, block_pos, page, {_BLOCK.format(v="v")} FROM block WHERE {_kind("v")} = 'object'
         """,
         a=artifacts,

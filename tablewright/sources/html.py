@@ -25,10 +25,19 @@ class _Tables(HTMLParser):
         self.title: list[str] | None = None
         self.in_title = self.skipped = 0
 
+    def feed(self, data):
+        self.line_starts = [0, *(m.end() for m in re.finditer("\n", data))]
+        self.size = len(data)
+        super().feed(data)
+
+    def _place(self) -> int:
+        line, column = self.getpos()
+        return self.line_starts[line - 1] + column
+
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
         if tag == "table":
-            self.open.append({"rows": [], "row": None, "cell": None, "caption": None, "in_caption": False, "texts": []})
+            self.open.append({"rows": [], "row": None, "cell": None, "caption": None, "in_caption": False, "texts": [], "start": self._place(), "end": self.size})
             self.tables.append(self.open[-1])
         elif tag == "title" and self.title is None:
             self.title, self.in_title = [], 1
@@ -54,7 +63,7 @@ class _Tables(HTMLParser):
         elif self.open:
             t = self.open[-1]
             if tag == "table":
-                self.open.pop()
+                self.open.pop()["end"] = self._place() + len("</table>")
             elif tag in ("td", "th"):
                 t["cell"] = None
             elif tag == "tr":
@@ -117,27 +126,36 @@ def tables_of(html: str | None) -> tuple[str, str, list[dict]]:
     parser = _Tables()
     parser.feed(html or "")
     parser.close()
-    tables = [{"caption": _text(t["caption"] or []), "text": _text(t["texts"]), "grid": grid(t["rows"])} for t in parser.tables]
+    tables = [{"caption": _text(t["caption"] or []), "text": _text(t["texts"]), "grid": grid(t["rows"]), "html": html[t["start"] : t["end"]]} for t in parser.tables]
     return _text(parser.title or []), _text(parser.texts), tables
 
 
-_SCHEMA = "array<struct<title: string, page_text: string, table_index: int, caption: string, table_text: string, grid: array<array<string>>>>"
+_SCHEMA = "array<struct<title: string, page_text: string, table_index: int, caption: string, table_text: string, grid: array<array<string>>, html: string>>"
 
 
-def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, page_idx, title (caption, page title or ``HTML table n``), unit, grid: a row for each table of each page."""
+def html_tables(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
+    """keys, page_idx, title (caption, page title or ``HTML table n``), unit, grid, html: a row for each table of each page."""
     @F.pandas_udf(_SCHEMA)
     def parse(values: pd.Series) -> pd.Series:
         def one(page):
             title, text, tables = tables_of(page)
-            return [{"title": title, "page_text": text, "table_index": i, "caption": t["caption"], "table_text": t["text"], "grid": t["grid"]} for i, t in enumerate(tables)]
+            return [{"title": title, "page_text": text, "table_index": i, "caption": t["caption"], "table_text": t["text"], "grid": t["grid"], "html": t["html"]} for i, t in enumerate(tables)]
 
         return values.map(one)
 
-    t = pages.select(key, F.explode(parse(html)).alias("t")).select(key, "t.*")
+    t = pages.select(*keys, F.explode(parse(html)).alias("t")).select(*keys, "t.*")
     unit = F.coalesce(F.nullif(html_unit("table_text"), F.lit("")), html_unit("page_text"))
     title = F.coalesce(F.nullif(F.col("caption"), F.lit("")), F.nullif(F.col("title"), F.lit("")), F.format_string("HTML table %d", F.col("table_index") + 1))
-    return t.select(key, F.col("table_index").alias("page_idx"), title.alias("title"), unit.alias("unit"), "grid")
+    return t.select(*keys, F.col("table_index").alias("page_idx"), title.alias("title"), unit.alias("unit"), "grid", "html")
+
+
+def html_blocks(pages: DataFrame, key: str = "task_id", html: str = "html") -> DataFrame:
+    """Blocks of HTML pages, as artifacts give them: a table block for each table, its place as its page."""
+    t = html_tables(pages, key, html=html)
+    unit = F.nullif(F.col("unit"), F.lit(""))
+    content = F.struct(F.col("title").alias("table_caption"), F.col("html"), F.lit("html_table").alias("table_type"), F.lit(0).alias("table_nest_level"), unit.alias("unit"), unit.alias("table_footnote"))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    return t.select(F.col(key).alias("task_id"), F.col("page_idx").cast("long").alias("block_seq"), "page_idx", F.lit("table").alias("block_type"), none("bbox"), F.parse_json(F.to_json(content)).alias("content"), none("title"), none("text"))
 
 
 def page_titles(pages: DataFrame, key: str, html: str = "html") -> DataFrame:

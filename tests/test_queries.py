@@ -26,8 +26,8 @@ def rows(table: pa.Table):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, DATA).toArrow(), duck.sql(catalogue.ORACLES[name]).to_arrow_table()
+    got, want = catalogue.QUERIES[name](spark, DATA).toArrow(), duck.sql(catalogue.oracle_sql()[name]).to_arrow_table()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows(got) == rows(want)
