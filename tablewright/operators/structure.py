@@ -38,6 +38,11 @@ def _get(path: str, kind: str = "variant", of: str = "content") -> Column:
     return F.try_variant_get(of, f"$.{path}", kind)
 
 
+def _input(d: DataFrame) -> list[str]:
+    """The column that tells a task's inputs apart, if there is one."""
+    return ["input_index"] if "input_index" in d.columns else []
+
+
 def _has(*keys: str) -> Column:
     found = F.lit(False)
     for k in keys:
@@ -149,7 +154,7 @@ def normalize_tables(blocks: DataFrame) -> Tables:
     tables = named.join(inferred, keys, "left").select(
         *keys, "name", F.coalesce(F.nullif(F.col("title_text"), F.lit("")), F.col("name")).alias("title"), "unit", normalize_text(_get("table_type", "string")).alias("table_type"),
         extract_text(_get("table_footnote")).alias("footnote"), F.when(F.size("inferred") > 0, F.col("inferred")).otherwise(F.col("declared")).alias("periods"),
-        F.col("page_idx").alias("page_start"), F.col("page_idx").alias("page_end"), "bbox", F.coalesce(F.nullif(normalize_text("role"), F.lit("")), F.lit("unknown")).alias("role") if "role" in blocks.columns else F.lit("unknown").alias("role"),
+        *_input(blocks), F.col("page_idx").alias("page_start"), F.col("page_idx").alias("page_end"), "bbox", F.coalesce(F.nullif(normalize_text("role"), F.lit("")), F.lit("unknown")).alias("role") if "role" in blocks.columns else F.lit("unknown").alias("role"),
     )
     kept = rows.select(*keys, "row_seq", "item", "row_type", "components", "page", "bbox")
     return Tables(tables, kept, row_cells(rows, keys))
@@ -159,14 +164,16 @@ def merge_islands(tables: DataFrame) -> DataFrame:
     """``tables`` with island: the table_seq of the table that each merges into (itself if none).
 
     In order of page (null as 0) and table_seq, a table joins the one before of its name if the titles agree
-    without case and its page is at most one behind; a null page never joins.
+    without case and its page is at most one behind; a null page never joins. Where ``tables`` has
+    input_index, tables of different inputs stay apart.
     """
-    order = Window.partitionBy("task_id", "name").orderBy(F.coalesce("page_start", F.lit(0)), "table_seq")
+    part = ["task_id", *_input(tables), "name"]
+    order = Window.partitionBy(*part).orderBy(F.coalesce("page_start", F.lit(0)), "table_seq")
     title = F.lower(normalize_text("title"))
     joins = (title != "") & (title == F.lag(title).over(order)) & (F.col("page_start") - F.lag("page_start").over(order) <= 1)
     opened = tables.withColumn("opens", (~F.coalesce(joins, F.lit(False))).cast("int"))
     numbered = opened.withColumn("run", F.sum("opens").over(order))
-    first = F.first("table_seq").over(Window.partitionBy("task_id", "name", "run").orderBy(F.coalesce("page_start", F.lit(0)), "table_seq"))
+    first = F.first("table_seq").over(Window.partitionBy(*part, "run").orderBy(F.coalesce("page_start", F.lit(0)), "table_seq"))
     return numbered.withColumn("island", first).drop("opens", "run")
 
 
@@ -275,8 +282,8 @@ def materialize_tables(blocks: DataFrame, parity: bool = False) -> Tables:
     """The whole of structuring: context, tables, merge, charts, narrative fallback, references."""
     from .references import reference_tables
 
-    scope = ["task_id"] if parity or "input_index" not in blocks.columns else ["task_id", "input_index"]
-    ready = checkpointed(carry_context(block_texts(classify(blocks)), scope))
+    blocks = blocks.drop("input_index") if parity else blocks
+    ready = checkpointed(carry_context(block_texts(classify(blocks)), ["task_id", *_input(blocks)]))
     both = _cut_lineage(stack_tables(merge_cross_page(normalize_tables(ready)), chart_tables(ready)))
     told = narrative_tables(ready, both.tables.select("task_id").distinct())
     every = _cut_lineage(stack_tables(both, told))

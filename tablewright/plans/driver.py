@@ -7,6 +7,7 @@ driver decides which attempt counts. Each stage is a DataFrame over all tasks; t
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,6 @@ class Run:
     """What a run of tasks leaves: a DataFrame for each kind of output."""
 
     plan: DataFrame
-    levels: DataFrame
     attempts: DataFrame
     status: DataFrame
     blocks: DataFrame
@@ -43,6 +43,11 @@ class Run:
     results: DataFrame
     trace: DataFrame
 
+    @cached_property
+    def levels(self) -> DataFrame:
+        """The levels of the plan's steps, which nothing in a run depends on."""
+        return steps.plan_levels(self.plan, steps.edges_of(self.plan))
+
 
 def plan_tasks(tasks: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signals of the inputs, profiles of the tasks, and the steps of their plans, linear or mixed."""
@@ -182,9 +187,8 @@ def run_tasks(tasks: DataFrame, inputs: DataFrame, documents: DataFrame, runs: D
     t, repairs = replace(t, cells=checkpointed(cells)), checkpointed(repairs)
     quality = checkpointed(Q.attach_context(judged(alive, t)[2], context, conflicts))
     logged = repair_log(repairs)
-    levels = steps.plan_levels(plan, steps.edges_of(plan))
     results = packaged(tasks, status, t, quality, logged)
-    return Run(plan, levels, log, status, blocks, t, context, conflicts, quality, accepted, repairs, results, trace_of(plan, log, status, quality))
+    return Run(plan, log, status, blocks, t, context, conflicts, quality, accepted, repairs, results, trace_of(plan, log, status, quality))
 
 
 def trace_of(plan: DataFrame, log: DataFrame, status: DataFrame, quality: DataFrame) -> DataFrame:

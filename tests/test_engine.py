@@ -195,3 +195,16 @@ def test_levels_without_bounds(spark):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert got == {(1, f"c{i}"): i for i in range(104)} | {(2, "root"): 0} | {(2, f"w{i}"): 1 for i in range(300)} | {(3, f"d{i}"): 2 * i for i in range(13)} | {(3, f"{x}{i}"): 2 * i + 1 for i in range(12) for x in "lr"}
     assert summary == {1: (104, 103, 104, True), 2: (301, 300, 2, True), 3: (37, 48, 25, True)}
+
+
+def test_queries_without_the_corpus_operators(monkeypatch):
+    """A library that the corpus operators need is missing: the other queries stay."""
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "tablewright.llm", None)
+    monkeypatch.setitem(sys.modules, "tablewright.llm.registry", None)
+    found = __spark_entry__.queries()
+    assert "task_pipeline" in found and not [n for n in found if n[:3].strip("op0123456789_") == "" or n == "pipeline"]
+    assert set(__spark_entry__.oracle_sql()) <= set(found)
