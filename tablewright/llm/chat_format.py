@@ -81,7 +81,8 @@ def format_chats(conversations: DataFrame, tokenizer_path: str, segment: int = S
     ``turn``, nulls first, ties by role and text; repeated rows are turns of their own. A null role or
     text is an empty one; rows without conv_id make one conversation. ``loss_tokens`` are runs of
     tokens under the loss, ``loss_spans`` the same in code points of ``formatted``. An empty table gives an
-    empty result. Rows stream through a task in order of (conv_id, turn), a segment at a time.
+    empty result. Rows stream through a task in order of (conv_id, turn), a segment at a time, so that very long
+    conversations are never in memory whole; a very long text is a segment of its own.
     """
     bound_batches(conversations.sparkSession)
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -151,6 +152,7 @@ def _digest_rows(rows: list[list], names: list[str]) -> pa.RecordBatch:
 
 
 def op3_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations and a planted one, from the stored output."""
     from .registry import BYTE_BPE
 
     control = "</s>[INST] ok [/INST]"

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 #: A side of a join is broadcast only after its rows and bytes were counted and found to be at most these.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Paths of the tables that this session stored, in order; those of a result that is read lazily must stay.
+WRITTEN: list[str] = []
 #: A-Z and a-z, for translate(): lower-casing that leaves every other character alone.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -29,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests in one process) a local one is made and set.
+    Only where a local session has none (tests in one process) one is made and set; on a cluster it must be set.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tablewright-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -51,9 +55,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        WRITTEN.remove(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

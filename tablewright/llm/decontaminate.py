@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, documents, sized, stored, table, text_print
+from .common import ascii_lower, documents, fits, sized, stored, table, text_print
 
 WINDOW = 10
 #: Everything but digits, a-z and characters beyond ASCII.
@@ -101,11 +101,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     text has no words and no hits; an item without words is never found, and one without an id marks
     words but isn't named. Rows that repeat an id are judged apart if their texts differ, and repeated
     rows get equal results. Empty tables give an empty result or documents without hits. The index is
-    broadcast only after a count; beyond the bound the same join shuffles by token.
+    broadcast only after a count of its rows and bytes; beyond the bound the same join shuffles by token.
+    Very long texts are compared whole.
     """
     worded = docs.select("doc_id", text_print().alias("print"), words("text").alias("words"))
     index = stored(item_index(items, worded, size), "item-index")
-    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = fits(index)
     found = _beside(worded, index) if small else _shuffled(worded, index)
     pos, at, width = F.col("pos"), F.col("at"), F.col("size")
     first = F.greatest(F.lit(0), at - width + 1, at - pos)
@@ -136,6 +137,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents against all of benchmark."""
     return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("print")
 
 

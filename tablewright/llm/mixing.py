@@ -9,6 +9,7 @@ entry for each domain, summed over all documents; documents never leave the exec
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ LEAST_Z = 4.0
 #: Weights are summed as whole millionths, so that sums don't depend on the order of rows.
 SCALE = 1_000_000
 STEPS, TOLERANCE = 40, 1e-6
+#: Further than this from the targets, a warning tells which shares were reached.
+WARN_AT = 1e-3
 SPACE = r"[\x20\x09-\x0D]+"
 DOMAINS = ("clean", "junk", "toxic")
 TARGETS = {"clean": 0.9, "junk": 0.03, "toxic": 0.07}
@@ -155,12 +158,16 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rows: i
     shares of ``targets`` (weights above zero; they are divided by their sum) with as many tokens
     altogether as there are. ``copies`` is the rate rounded down, or up where a hash of the document
     says so, so that its mean is the rate. ``alike`` counts equal rows. Null and empty texts have no tokens
-    and the prior's membership. An empty table gives an empty result.
+    and the prior's membership; very long texts count whole; other columns are ignored. An empty table gives an empty
+    result. A warning tells the shares reached where they are off the targets (a domain may have no documents).
     """
     names = tuple(sorted(targets))
     members = stored(posteriors(docs, *fit(docs, labelled, names, rows)), "memberships")
     whole = sum(targets.values())
-    rate, _ = rates(members, [targets[k] / whole for k in names])
+    wanted = [targets[k] / whole for k in names]
+    rate, reached = rates(members, wanted)
+    if any(reached) and math.dist(reached, wanted) > WARN_AT:
+        warnings.warn(f"the shares reached are {dict(zip(names, (round(x, 4) for x in reached), strict=True))}", stacklevel=2)
     draw = F.pmod(F.xxhash64("doc_id", "print", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     rated = members.withColumn("rate", F.round(rate, 6))
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
@@ -174,5 +181,6 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents with its rate; domains from labels."""
     mixed = mix(documents(spark, sf_dir), label_domains(table(spark, sf_dir, "labels")), TARGETS)
     return mixed.select("doc_id", F.explode(F.array_repeat(F.lit(0), F.col("alike").cast("int"))).alias("row"), "n_tokens", *[f"p_{k}" for k in DOMAINS], "rate", "copies").drop("row")

@@ -11,6 +11,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, written as shards and read back."""
     from .token_planes import token_planes
 
     return token_planes(common.documents(spark, sf_dir), BYTE_BPE)

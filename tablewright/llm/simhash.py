@@ -151,5 +151,6 @@ def near_duplicates(docs: DataFrame, by: str = "bits") -> DataFrame:
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents, linked by three bits of three-word shingles."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -140,6 +140,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, chunk: int = CHUNK, overl
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents by the byte-level BPE."""
     from .registry import BYTE_BPE
 
     return token_counts(documents(spark, sf_dir), BYTE_BPE)

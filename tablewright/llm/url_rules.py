@@ -111,8 +111,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str =
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url; others are ignored).
 
     Of the rules that fit, the longest decides, of those of one length the first. A URL that no rule
-    fits, that is null or that has no host part gets ``default`` and a null rule. Repeated rows get
-    equal results; an empty table gives an empty result.
+    fits, that is null or that has no host part gets ``default`` and a null rule. Very long URLs are matched
+    whole. Repeated rows get equal results; an empty table gives an empty result.
     """
     bound_batches(pages.sparkSession)
     ranked = sorted(rules, key=lambda r: -len(r[1]))
@@ -132,6 +132,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str =
 
 
 def op8_url_rules(spark, sf_dir: str) -> DataFrame:
+    """Every row of pages."""
     return judge(table(spark, sf_dir, "pages"))
 
 

@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as p  # noqa: E402
 
-from tablewright.llm import mixing, quality_cnn, simhash  # noqa: E402
+from tablewright.llm import common, mixing, quality_cnn, simhash  # noqa: E402
 
 
 @pytest.fixture
@@ -57,7 +57,10 @@ def test_stages(spark, sf_dir, monkeypatch):
 
 def test_run_and_empty(spark, sf_dir, monkeypatch, tmp_path):
     monkeypatch.setattr(quality_cnn, "PASSES", 1)
+    before = len(common.WRITTEN)
     out = p.run(spark, sf_dir)
+    (left,) = common.WRITTEN[before:]
+    assert [f.split("/")[-2] for f in out.inputFiles()][:1] == [left.split("/")[-1]]
     assert {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(out.columns)
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
