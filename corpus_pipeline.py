@@ -67,7 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    """The last stage's rows. A stage's own tables, and the one it read, go when its result is written; shards stay."""
+    docs, read = common.documents(spark, sf_dir), []
     for name, stage in STAGES:
+        before = len(common.WRITTEN)
         docs = common.stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        *own, result = common.WRITTEN[before:]
+        common.drop_stored(spark, [*own, *read])
+        read = [result]
     return docs
