@@ -1,6 +1,6 @@
 """Scalar column expressions over text: normalisation, numbers, units, labels, mentions.
 
-All are built-in expressions that stay in generated code. Patterns and word lists that results depend
+All are built-in expressions on the JVM; those in :func:`let` run there as a lambda that isn't compiled. Patterns and word lists that results depend
 on are marked as fixed values.
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fix_ocr_digits, has_digit, normalize_text, parse_number, repair_confidence, strip_context_unit
+from ..functions.text import fix_ocr_digits, has_digit, let, normalize_text, parse_number, repair_confidence, strip_context_unit
 
 # Fixed values.
 DIGIT_BASE, UNIT_BASE, LOGGED, SHOWN_PEERS = 0.72, 0.82, 50, 3
@@ -13,22 +13,28 @@ DIGIT_BASE, UNIT_BASE, LOGGED, SHOWN_PEERS = 0.72, 0.82, 50, 3
 ROW = ["task_id", "table_seq", "row_seq"]
 
 
-def with_fix(df: DataFrame, raw: Column | str, units: Column | str) -> DataFrame:
-    """``df`` with fix: struct<text, value, reason, base> of a repair, or null.
+def candidate(raw: Column | str, units: Column | str) -> Column:
+    """struct<text, value, reason, base> of a repair, or null: confused letters as digits, then units of the context cut.
 
-    Confused letters become digits; if that isn't a number, units that the context names are cut. Each step
-    is a projection of its own, so that no step is evaluated twice and all stay in generated code.
+    Each step is bound once and later ones run only where the earlier ones gave no number.
     """
     units = F.col(units) if isinstance(units, str) else units
-    made = lambda text, value, reason, base: F.struct(F.col(text).alias("text"), F.col(value).alias("value"), reason.alias("reason"), F.lit(base).alias("base"))
-    step = df.withColumn("_text", normalize_text(raw)).withColumn("_open", has_digit(F.col("_text")) & parse_number("_text").isNull())
-    step = step.withColumn("_digits", F.when(F.col("_open"), fix_ocr_digits("_text"))).withColumn("_read", parse_number("_digits"))
-    changed = F.col("_digits") != F.col("_text")
-    step = step.withColumn("_swapped", changed & F.col("_read").isNotNull())
-    step = step.withColumn("_cut", F.when(~F.col("_swapped"), strip_context_unit("_digits", units))).withColumn("_rest", parse_number("_cut"))
-    unit = made("_cut", "_rest", F.when(changed, "contextual_ocr_unit_suffix").otherwise("contextual_unit_suffix"), UNIT_BASE)
-    fix = F.when(F.col("_swapped"), made("_digits", "_read", F.lit("ocr_digit_confusion"), DIGIT_BASE)).when((F.col("_cut") != F.col("_digits")) & F.col("_rest").isNotNull(), unit)
-    return step.withColumn("fix", fix).drop("_text", "_open", "_digits", "_read", "_swapped", "_cut", "_rest")
+    made = lambda t, value, reason, base: F.struct(t.alias("text"), value.alias("value"), reason.alias("reason"), F.lit(base).alias("base"))
+
+    def cut_units(text: Column, digits: Column) -> Column:
+        reason = F.when(digits != text, "contextual_ocr_unit_suffix").otherwise("contextual_unit_suffix")
+        return let(strip_context_unit(digits, units), lambda s: let(parse_number(s), lambda v: F.when((s != digits) & v.isNotNull(), made(s, v, reason, UNIT_BASE))))
+
+    def confused(text: Column, digits: Column) -> Column:
+        return let(parse_number(digits), lambda v: F.when((digits != text) & v.isNotNull(), made(digits, v, F.lit("ocr_digit_confusion"), DIGIT_BASE)))
+
+    fix = lambda text: let(fix_ocr_digits(text), lambda digits: F.coalesce(confused(text, digits), cut_units(text, digits)))
+    return let(normalize_text(raw), lambda text: F.when(parse_number(text).isNull() & has_digit(text), fix(text)))
+
+
+def fixes(df: DataFrame, raw: Column | str, units: Column | str) -> DataFrame:
+    """The rows of ``df`` that have a repair, with fix. A generator makes it, as a filter on it would be pushed below and evaluate it twice."""
+    return df.withColumn("fix", F.explode(F.array_compact(F.array(candidate(raw, units)))))
 
 
 def context_evidence(seen: DataFrame) -> Column:
@@ -46,7 +52,7 @@ def repair_cells(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> tuple[
     r = rows.select(*ROW, "item", "page", "bbox")
     joined = cells.join(r, ROW).join(t, ["task_id", "table_seq"])
     units = F.concat_ws(" ", F.nullif(normalize_text("unit"), F.lit("")), F.nullif(normalize_text("footnote"), F.lit("")))
-    tried = with_fix(joined, F.when(F.col("value").isNull(), F.col("raw")), units)
+    tried = joined.withColumn("fix", F.when(F.col("value").isNull(), candidate("raw", units)))
     row = Window.partitionBy(*ROW).orderBy("cell_index")
     entry = lambda value: F.when(value.isNotNull(), F.struct("cell_index", "period", value.alias("value")))
     known = F.collect_list(entry(F.col("value"))).over(row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

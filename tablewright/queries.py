@@ -230,16 +230,16 @@ def table_presence_antijoin(spark, sf_dir):
 
 @query(f"SELECT l_orderkey, l_linenumber, {CENTS} AS value_cents, 'ocr_digit_confusion' AS reason FROM lineitem WHERE regexp_matches({PLAIN}, '[01]') AND regexp_matches({PLAIN}, '[2-9]')")
 def ocr_repair_digits(spark, sf_dir):
-    df = repair.with_fix(lines(spark, sf_dir), F.translate("plain", "01", "Ol"), F.lit("USD"))
-    return df.where("fix is not null").select("l_orderkey", "l_linenumber", F.round(F.col("fix.value") * 100).cast("long").alias("value_cents"), F.col("fix.reason").alias("reason"))
+    df = repair.fixes(lines(spark, sf_dir), F.translate("plain", "01", "Ol"), F.lit("USD"))
+    return df.select("l_orderkey", "l_linenumber", F.round(F.col("fix.value") * 100).cast("long").alias("value_cents"), F.col("fix.reason").alias("reason"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {CENTS} AS value_cents, CASE WHEN l_linenumber % 3 = 2 THEN 'contextual_ocr_unit_suffix' ELSE 'contextual_unit_suffix' END AS reason FROM lineitem")
 def unit_suffix_repair(spark, sf_dir):
     k = F.col("l_linenumber") % 3
     damaged = F.when(k == 0, F.concat("plain", F.lit(" usd"))).when(k == 1, F.concat("plain", F.lit("百万元"))).otherwise(F.concat(F.lit("O"), "plain", F.lit(" 人民币")))
-    df = repair.with_fix(lines(spark, sf_dir), damaged, F.when(k == 0, "USD million").otherwise("单位 人民币百万元"))
-    return df.where("fix is not null").select("l_orderkey", "l_linenumber", F.round(F.col("fix.value") * 100).cast("long").alias("value_cents"), F.col("fix.reason").alias("reason"))
+    df = repair.fixes(lines(spark, sf_dir), damaged, F.when(k == 0, "USD million").otherwise("单位 人民币百万元"))
+    return df.select("l_orderkey", "l_linenumber", F.round(F.col("fix.value") * 100).cast("long").alias("value_cents"), F.col("fix.reason").alias("reason"))
 
 
 @query("SELECT c_custkey, CAST(72 + 4 * ((c_custkey % 2 = 0)::INT + (c_custkey % 3 = 0)::INT + (c_custkey % 5 = 0)::INT + (c_custkey % 7 = 0)::INT) AS BIGINT) AS confidence FROM customer")
