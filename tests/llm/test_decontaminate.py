@@ -40,9 +40,9 @@ def planted():
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(m, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("small", [True, False])
+def test_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(m, "fits", lambda index: small)
     docs, items = planted()
     d = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, item_id int, words string").repartition(3)
     b = spark.createDataFrame([(*r, 5) for r in items], "item_id long, text string, doc_id int")
