@@ -11,8 +11,14 @@ from .plans import driver, routing, steps
 from .queries import cents, query, read
 from .sources import artifacts, html, stores
 
-NONE = F.lit(None).cast("string")
-STRINGS = F.array().cast("array<string>")
+
+def absent() -> F.Column:
+    """A null text."""
+    return F.lit(None).cast("string")
+
+
+def no_strings() -> F.Column:
+    return F.array().cast("array<string>")
 
 
 def balance() -> F.Column:
@@ -34,8 +40,8 @@ def customer_tasks(spark, sf_dir: str):
     c = read(spark, sf_dir, "customer", "c_custkey", "c_acctbal").withColumnRenamed("c_custkey", "task_id")
     k = F.col("task_id") % 4
     raw = F.when(F.col("task_id") % 3 == 1, F.translate(balance(), "01", "Ol")).otherwise(balance())
-    tasks = c.select("task_id", F.lit("filing").alias("task_name"), F.lit("report").alias("document_type"), F.lit("extract").alias("goal"), NONE.alias("option_backend"), NONE.alias("option_method"), NONE.alias("server_url"), F.lit(True).alias("auto_recovery"))
-    inputs = c.select("task_id", F.lit(0).alias("input_index"), F.concat(F.lit("/in/f"), F.col("task_id").cast("string"), F.when(k == 0, ".html").otherwise(".pdf")).alias("path"), NONE.alias("url"), F.lit("primary").alias("role"), NONE.alias("mime_type"), F.lit(1.0).alias("size_mb"))
+    tasks = c.select("task_id", F.lit("filing").alias("task_name"), F.lit("report").alias("document_type"), F.lit("extract").alias("goal"), absent().alias("option_backend"), absent().alias("option_method"), absent().alias("server_url"), F.lit(True).alias("auto_recovery"))
+    inputs = c.select("task_id", F.lit(0).alias("input_index"), F.concat(F.lit("/in/f"), F.col("task_id").cast("string"), F.when(k == 0, ".html").otherwise(".pdf")).alias("path"), absent().alias("url"), F.lit("primary").alias("role"), absent().alias("mime_type"), F.lit(1.0).alias("size_mb"))
     cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
     key = F.col("task_id").cast("string")
     page = F.concat(F.lit("<title>Filing</title><p>Unit: USD</p><table><caption>Balance</caption><tr><th>Item</th><th>2024</th><th>2023</th></tr><tr><td>Account</td>"), cell(raw), cell(F.lit("7")), F.lit("</tr><tr><td>Key</td>"), cell(key), cell(F.lit("8")), F.lit("</tr></table>"))
@@ -47,7 +53,7 @@ def customer_tasks(spark, sf_dir: str):
     said = lambda attempt, status, error: F.struct(F.lit(attempt).alias("attempt"), F.lit(status).alias("status"), F.lit(error).alias("stderr"))
     none = F.lit(None).cast("array<struct<attempt:int,status:string,stderr:string>>")
     outcome = F.when(k == 1, F.array(said(0, "succeeded", ""))).when(k == 2, F.array(said(0, "failed", "request timed out"), said(1, "succeeded", ""))).when(k == 3, F.array(said(0, "missing_input", ""), said(1, "succeeded", ""))).otherwise(none)
-    runs = c.select("task_id", F.lit(0).alias("input_index"), F.explode(outcome).alias("r")).select("task_id", "input_index", "r.*", NONE.alias("message"), NONE.alias("stdout"), F.lit(0).alias("returncode"))
+    runs = c.select("task_id", F.lit(0).alias("input_index"), F.explode(outcome).alias("r")).select("task_id", "input_index", "r.*", absent().alias("message"), absent().alias("stdout"), F.lit(0).alias("returncode"))
     return tasks, inputs, documents, runs
 
 
@@ -72,8 +78,8 @@ SOAK_PAGE = "<title>Balance</title><p>单位：人民币百万元</p><table><tr>
 def html_soak(spark, sf_dir):
     """A hundred equal HTML tasks through the whole engine, and the report on them."""
     n = spark.range(100).select(F.col("id").alias("task_id"))
-    tasks = n.select("task_id", F.lit("soak").alias("task_name"), F.lit("html_financial_table").alias("document_type"), F.lit("extract").alias("goal"), NONE.alias("option_backend"), NONE.alias("option_method"), NONE.alias("server_url"), F.lit(True).alias("auto_recovery"))
-    inputs = n.select("task_id", F.lit(0).alias("input_index"), F.lit("/in/page.html").alias("path"), NONE.alias("url"), F.lit("primary").alias("role"), NONE.alias("mime_type"), F.lit(0.1).alias("size_mb"))
+    tasks = n.select("task_id", F.lit("soak").alias("task_name"), F.lit("html_financial_table").alias("document_type"), F.lit("extract").alias("goal"), absent().alias("option_backend"), absent().alias("option_method"), absent().alias("server_url"), F.lit(True).alias("auto_recovery"))
+    inputs = n.select("task_id", F.lit(0).alias("input_index"), F.lit("/in/page.html").alias("path"), absent().alias("url"), F.lit("primary").alias("role"), absent().alias("mime_type"), F.lit(0.1).alias("size_mb"))
     documents = n.select("task_id", F.lit(0).alias("input_index"), F.lit(0).alias("attempt"), F.lit("html").alias("kind"), F.lit(SOAK_PAGE).alias("body"))
     runs = spark.createDataFrame([], "task_id long, input_index int, attempt int, status string, message string, stdout string, stderr string, returncode int")
     run = driver.run_tasks(tasks, inputs, documents, runs)
@@ -186,7 +192,7 @@ def scalar_helpers(spark, sf_dir):
     path = F.when(k % 2 == 0, F.concat(F.lit("/a.b/Customer#"), F.lpad(k.cast("string"), 9, "0"), F.lit(" v1.PDF"))).otherwise("/a/--.pdf")
     return c.select(
         "c_custkey", T.first_text(F.when(k % 3 == 0, F.col("c_name")).otherwise(" \t"), F.when(k % 3 == 1, F.col("c_mktsegment"))).alias("first"), T.safe_int(F.when(k % 4 == 0, "x").otherwise((k % 4 - 2).cast("string")), 9).alias("span"),
-        T.year_from_text(F.when(k % 2 == 0, F.concat(F.lit("in 1234 or "), (1990 + k % 30).cast("string"), F.lit(" and 2031"))).otherwise("in 1899 or 2199")).alias("year"), T.input_slug((k % 7).cast("int"), path, NONE, F.lit("audit")).alias("slug"), risk.alias("risk"), T.risk_rank(risk).alias("rank"),
+        T.year_from_text(F.when(k % 2 == 0, F.concat(F.lit("in 1234 or "), (1990 + k % 30).cast("string"), F.lit(" and 2031"))).otherwise("in 1899 or 2199")).alias("year"), T.input_slug((k % 7).cast("int"), path, absent(), F.lit("audit")).alias("slug"), risk.alias("risk"), T.risk_rank(risk).alias("rank"),
     )
 
 
@@ -213,7 +219,7 @@ def _typed_blocks(spark, sf_dir) -> DataFrame:
     name = F.col("c_name")
     to = lambda field: F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), name.alias("content"))).alias(field)))
     content = F.when(k == 0, to("title_content")).when(k == 1, to("paragraph_content")).when(k == 2, '{"html": "<table></table>"}').when(k == 3, '{"series": []}').when(k == 4, F.to_json(F.struct(name.alias("x")))).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
-    return c.select(F.col("c_custkey").alias("task_id"), F.lit(0).cast("long").alias("block_seq"), F.lit(0).alias("page_idx"), pick(["Title", "text", "x", "y", "z", "doc_title"], k).alias("block_type"), NONE.alias("bbox"), F.parse_json(content).alias("content"), NONE.alias("title"), NONE.alias("text"))
+    return c.select(F.col("c_custkey").alias("task_id"), F.lit(0).cast("long").alias("block_seq"), F.lit(0).alias("page_idx"), pick(["Title", "text", "x", "y", "z", "doc_title"], k).alias("block_type"), absent().alias("bbox"), F.parse_json(content).alias("content"), absent().alias("title"), absent().alias("text"))
 
 
 @query("""
@@ -232,7 +238,7 @@ def order_tables(spark, sf_dir) -> structure.Tables:
     row = F.struct(F.concat(F.lit(" Line "), F.col("l_linenumber").cast("string")).alias("label"), values.alias("values"))
     g = li.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
     content = F.struct(F.lit("Order lines").alias("title"), F.lit("USD cents").alias("unit"), F.array(*[F.lit(p) for p in ("quantity", "price", "discount", "tax")]).alias("periods"), F.col("rows"))
-    blocks = g.select("task_id", F.lit(0).cast("long").alias("block_seq"), F.lit(2).alias("page_idx"), F.lit("table").alias("block_type"), F.lit("[0,1,2,3]").alias("bbox"), F.parse_json(F.to_json(content)).alias("content"), NONE.alias("title"), NONE.alias("text"), NONE.alias("context_title"), NONE.alias("context_unit"), F.lit("primary").alias("role"))
+    blocks = g.select("task_id", F.lit(0).cast("long").alias("block_seq"), F.lit(2).alias("page_idx"), F.lit("table").alias("block_type"), F.lit("[0,1,2,3]").alias("bbox"), F.parse_json(F.to_json(content)).alias("content"), absent().alias("title"), absent().alias("text"), absent().alias("context_title"), absent().alias("context_unit"), F.lit("primary").alias("role"))
     return structure.normalize_tables(structure.classify(blocks))
 
 
@@ -311,8 +317,8 @@ WHERE regexp_matches({PLAIN}, '[01]') AND regexp_matches({PLAIN}, '[2-9]')
 def repair_records(spark, sf_dir):
     c = read(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
     key = [F.col("c_custkey").alias("task_id"), F.lit(0).alias("table_seq")]
-    tables = c.select(*key, F.lit("t").alias("name"), F.lit("T").alias("title"), F.when(F.col("c_custkey") % 2 == 0, "USD").otherwise("").alias("unit"), F.lit("note").alias("footnote"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), NONE.alias("bbox"))
-    rows = c.select(*key, F.lit(0).alias("row_seq"), F.lit("Account").alias("item"), F.lit(1).alias("page"), NONE.alias("bbox"))
+    tables = c.select(*key, F.lit("t").alias("name"), F.lit("T").alias("title"), F.when(F.col("c_custkey") % 2 == 0, "USD").otherwise("").alias("unit"), F.lit("note").alias("footnote"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), absent().alias("bbox"))
+    rows = c.select(*key, F.lit(0).alias("row_seq"), F.lit("Account").alias("item"), F.lit(1).alias("page"), absent().alias("bbox"))
     cells = c.select(*key, F.lit(0).alias("row_seq"), F.posexplode(F.array(F.struct(F.lit("2024").alias("period"), F.translate(balance(), "01", "Ol").alias("raw")), F.struct(F.lit("2023").alias("period"), F.lit("7").alias("raw")))).alias("cell_index", "x")).select("task_id", "table_seq", "row_seq", "cell_index", "x.*").withColumn("value", T.parse_number("raw"))
     r = repair.repair_cells(tables, rows, cells)[1]
     return r.select("task_id", "row", "period", "repaired", "reason", F.round(F.col("confidence") * 100).cast("long").alias("confidence"), F.col("context_evidence.peer_values")[0]["value"].cast("long").alias("peer"))
@@ -354,7 +360,7 @@ def terminal_failures(spark, sf_dir):
     c = read(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "task_id")
     runs = c.select("task_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
     last = F.when(F.col("attempt") == 1, F.when(F.col("task_id") % 3 == 1, "missing_input").when(F.col("task_id") % 3 == 2, "failed")).otherwise("missing_input")
-    failure = F.when(last.isNotNull(), routing.classify_failure(last, NONE, NONE, NONE, F.lit(1)))
+    failure = F.when(last.isNotNull(), routing.classify_failure(last, absent(), absent(), absent(), F.lit(1)))
     return routing.last_failure_is_terminal(runs.withColumn("failure", failure))
 
 
@@ -379,7 +385,7 @@ def _routed(spark, sf_dir):
     tasks = c.select("task_id", F.lit("filing").alias("task_name"), F.lit("annual_report").alias("document_type"), F.lit("extract").alias("goal"))
     part = lambda i, path, role: F.struct(F.lit(i).alias("input_index"), path.alias("path"), F.lit(role).alias("role"))
     second = F.when(k % 3 == 0, part(1, F.lit("/in/scan.png"), "attachment"))
-    inputs = c.select("task_id", F.explode(F.array_compact(F.array(part(0, F.when(k % 2 == 0, "/in/Main Doc.pdf").otherwise("/in/page.html"), "primary"), second))).alias("i")).select("task_id", "i.*", NONE.alias("url"), NONE.alias("mime_type"), F.lit(1.0).alias("size_mb"))
+    inputs = c.select("task_id", F.explode(F.array_compact(F.array(part(0, F.when(k % 2 == 0, "/in/Main Doc.pdf").otherwise("/in/page.html"), "primary"), second))).alias("i")).select("task_id", "i.*", absent().alias("url"), absent().alias("mime_type"), F.lit(1.0).alias("size_mb"))
     return tasks, inputs, *driver.plan_tasks(tasks, inputs)
 
 
@@ -417,12 +423,12 @@ def option_route(spark, sf_dir):
     """Options of a PDF after a sample of its pages, as command-line flags, and where its models come from."""
     c = read(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "task_id")
     k = F.col("task_id")
-    inputs = c.select("task_id", F.lit(0).alias("input_index"), F.lit("/a/x.pdf").alias("path"), NONE.alias("url"), F.lit("primary").alias("role"), NONE.alias("mime_type"), F.lit("t").alias("task_name"), F.lit("report").alias("document_type"), F.lit(1.0).alias("size_mb"))
-    based = routing.base_options(routing.input_signals(inputs).withColumns({"option_backend": NONE, "option_method": NONE}))
+    inputs = c.select("task_id", F.lit(0).alias("input_index"), F.lit("/a/x.pdf").alias("path"), absent().alias("url"), F.lit("primary").alias("role"), absent().alias("mime_type"), F.lit("t").alias("task_name"), F.lit("report").alias("document_type"), F.lit(1.0).alias("size_mb"))
+    based = routing.base_options(routing.input_signals(inputs).withColumns({"option_backend": absent(), "option_method": absent()}))
     profiles = c.select("task_id", F.lit(False).alias("scanned_hint"), F.lit(False).alias("has_image"))
     sample = c.where(k % 3 > 0).select("task_id", F.lit(2).alias("table_count"), F.lit("medium").alias("risk_level"), F.when(k % 3 == 1, 0.5).otherwise(0.9).alias("numeric_parse_coverage"))
     routed = routing.preflight_route(based, profiles, sample).withColumns({"start_page": F.lit(1), "formula": F.lit(True)})
-    return routed.select("task_id", "backend", "method", "planning_reason", F.array_join(routing.cli_options(routed), " ").alias("flags"), routing.model_source(F.col("backend"), NONE, NONE, k % 2 == 0).alias("models"))
+    return routed.select("task_id", "backend", "method", "planning_reason", F.array_join(routing.cli_options(routed), " ").alias("flags"), routing.model_source(F.col("backend"), absent(), absent(), k % 2 == 0).alias("models"))
 
 
 @query("""
@@ -432,7 +438,7 @@ def path_profile(spark, sf_dir):
     """The signal of a path: of the input that has it, else of the path alone; and whether a sample should be read first."""
     c = read(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "task_id")
     k = F.col("task_id")
-    inputs = c.where(k % 2 == 0).select("task_id", F.lit("/a/x.bin").alias("path"), F.lit(0).alias("input_index"), NONE.alias("url"), F.lit("audit").alias("role"), F.lit("application/pdf").alias("mime_type"), F.lit("t").alias("task_name"), F.lit("r").alias("document_type"), F.lit(1.0).alias("size_mb"))
+    inputs = c.where(k % 2 == 0).select("task_id", F.lit("/a/x.bin").alias("path"), F.lit(0).alias("input_index"), absent().alias("url"), F.lit("audit").alias("role"), F.lit("application/pdf").alias("mime_type"), F.lit("t").alias("task_name"), F.lit("r").alias("document_type"), F.lit(1.0).alias("size_mb"))
     found = routing.signal_of_path(c.select("task_id", F.lit("/a/x.bin").alias("path")), inputs)
     options = c.select("task_id", F.lit(True).alias("preflight"), F.lit(None).cast("int").alias("start_page"), F.lit(None).cast("int").alias("end_page"), F.lit(".pdf").alias("suffix"), (k % 5 == 0).alias("large_document_hint"), F.lit("TXT").alias("method"))
     return found.select("task_id", "role", "pdf_like").join(options.select("task_id", routing.needs_preflight(options).alias("needs")), "task_id")
@@ -465,8 +471,8 @@ def quality_advice(spark, sf_dir):
     c = read(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "task_id")
     k = F.col("task_id") % 5
     some = c.where(k > 0)
-    tables = some.select("task_id", F.lit(0).alias("table_seq"), F.lit("t").alias("name"), F.lit("T").alias("title"), F.when(k != 3, "USD").alias("unit"), F.lit("").alias("table_type"), F.when(k != 4, F.array(F.lit("p"))).otherwise(STRINGS).alias("periods"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
-    rows = some.select("task_id", F.lit(0).alias("table_seq"), F.posexplode(F.array(F.lit("Part"), F.lit("Total"))).alias("row_seq", "item"), F.lit(1).alias("page"), NONE.alias("bbox")).withColumn("components", F.when((F.col("item") == "Total") & (k == 1), F.array(F.lit("part"))).otherwise(STRINGS))
+    tables = some.select("task_id", F.lit(0).alias("table_seq"), F.lit("t").alias("name"), F.lit("T").alias("title"), F.when(k != 3, "USD").alias("unit"), F.lit("").alias("table_type"), F.when(k != 4, F.array(F.lit("p"))).otherwise(no_strings()).alias("periods"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    rows = some.select("task_id", F.lit(0).alias("table_seq"), F.posexplode(F.array(F.lit("Part"), F.lit("Total"))).alias("row_seq", "item"), F.lit(1).alias("page"), absent().alias("bbox")).withColumn("components", F.when((F.col("item") == "Total") & (k == 1), F.array(F.lit("part"))).otherwise(no_strings()))
     cells = rows.select("task_id", "table_seq", "row_seq", F.lit(0).alias("cell_index"), F.lit("p").alias("period"), F.when((k == 2) & (F.col("row_seq") == 0), "1O").otherwise((F.col("row_seq") + 5).cast("string")).alias("raw")).withColumn("value", T.parse_number("raw"))
     q = quality.quality(c.select("task_id"), quality.table_diagnostics(tables, rows, cells), quality.verify(tables, rows, cells))
     return q.select("task_id", F.array_join("recommended_actions", ";").alias("action"), F.array_join("warnings", ";").alias("warning"), "risk_level")
