@@ -1,16 +1,17 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame operations alone.
 
-A record is one window of an item (``WINDOW`` consecutive words, or the whole of a shorter item), and
-a document matches it only by holding all of it. For full containment the necessary prefix under any
-order of tokens is one token, so each window is indexed by its rarest word over all documents. A
-document word that equals such a word is a candidate at one place only: the relative position of the
-word in the window bounds where the window must lie (length and positional bounds), a neighbouring
-word must agree too, and what is left is verified by comparing the window's words.
+A record is one distinct window of the items (``WINDOW`` consecutive words, or the whole of a shorter item),
+and a document matches it only by holding all of it. Its tokens are shingles of two words (the word itself in a
+window of one), ordered by rarity over all documents. For full containment the necessary prefix under any order
+is one token, so each window is indexed by its rarest shingle. A document shingle that equals it is a candidate
+at one place only: its position in the window says where the window must lie, which must be inside the document
+(length and positional bounds), and there the words are compared. Windows held by the same items share an item
+class, so a passage common to many items is found once and their names join the documents that hold it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, documents, fits, sized, stored, table, text_print
@@ -25,72 +26,99 @@ def words(column) -> F.Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(column), BETWEEN), ""), F.array().cast("array<string>"))
 
 
-def _around(array: str, at, size) -> tuple[F.Column, F.Column]:
-    """The words of all windows of ``size`` over place ``at``, and the place of the first of them."""
-    start = F.greatest(at - size + 1, F.lit(0))
-    return F.slice(F.col(array), start + 1, 2 * size - 1), start
+def item_windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(window, item_class) for each distinct window of all items, and (item_class, item_id).
+
+    Windows that the same items hold have one class: the items' number and two XORs of 64-bit hashes of their
+    ids. Items without an id are in no class; a window of such items alone has none.
+    """
+    worded = items.select("item_id", words("text").alias("item_words")).where(F.size("item_words") > 0)
+    width = F.least(F.size("item_words"), F.lit(size))
+    starts = F.sequence(F.lit(1), F.size("item_words") - width + 1)
+    held = stored(worded.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("item_words", s, width))).alias("window")).distinct(), "item-windows")
+    name = F.col("item_id").cast("string")
+    signed = held.groupBy("window").agg(F.count("item_id").alias("n"), F.bit_xor(F.xxhash64(name)).alias("a"), F.bit_xor(F.xxhash64(name, F.lit("again"))).alias("b"))
+    windows = stored(signed.select("window", F.when(F.col("n") > 0, F.concat_ws("/", "n", "a", "b")).alias("item_class")), "windows")
+    return windows, stored(held.where("item_id is not null").join(sized(windows), "window").select("item_class", "item_id").distinct(), "item-classes")
+
+
+def item_index(windows: DataFrame, worded: DataFrame) -> DataFrame:
+    """token (the hash of a window's rarest shingle), at (its place), size (of the window), window, item_class.
+
+    Rarity is the number of occurrences over all documents; ties go to the lesser hash, then to the first place.
+    """
+    pair = lambda i: F.xxhash64(F.get("window", i), F.get("window", i + 1))
+    shingles = F.when(F.size("window") == 1, F.array(F.xxhash64(F.get("window", F.lit(0))))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("window") - 2, F.lit(0))), pair))
+    placed = windows.select("window", F.posexplode(shingles).alias("at", "token"))
+    vocabulary = stored(placed.select("token").distinct(), "item-shingles")
+    found = _tokens(worded, _single(windows)).where("token is not null").select("token").join(sized(vocabulary), "token", "left_semi")
+    counts = stored(found.groupBy("token").agg(F.count("*").alias("n")), "item-shingle-counts")
+    rarest = placed.join(sized(counts), "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at")).alias("best"))
+    index = windows.join(rarest, "window").select(F.col("best.token").alias("token"), F.col("best.at").alias("at"), F.size("window").alias("size"), "window", "item_class")
+    return stored(index, "item-index")
 
 
-def item_index(items: DataFrame, docs_words: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The places of items that are the rarest word of some window.
+def _single(windows: DataFrame) -> bool:
+    """Are there windows of one word, whose tokens are words?"""
+    return windows.where(F.size("window") == 1).limit(1).count() > 0
 
-    token, item_id, at (its place), size (of the windows), n_item (words of the item), before and
-    after (the words beside the token), item_part and item_start (the words of all its windows).
 
-    Rarity is the number of occurrences over all documents; ties go to the earlier word in order of the
-    alphabet, then to the first place, so that one token stands for each window.
+def _tokens(worded: DataFrame, single: bool) -> DataFrame:
+    """doc_id, print, words, pos, token: the hashed shingle of each place, and its word if ``single``.
+
+    A row without a token closes each document: its place is the number of words.
     """
-    worded = stored(items.select("item_id", words("text").alias("item_words")).where(F.size("item_words") > 0).distinct(), "items")
-    placed = worded.select("item_id", "item_words", F.posexplode("item_words").alias("at", "token"))
-    vocabulary = stored(placed.select("token").distinct(), "item-words")
-    counted = docs_words.select(F.explode("words").alias("token")).join(sized(vocabulary), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    counts = stored(vocabulary.join(counted, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n")), "item-word-counts")
-    ranked = placed.join(counts, "token").withColumn("size", F.least(F.size("item_words"), F.lit(size)))
-    item = Window.partitionBy("item_id", "item_words").orderBy("at")
-    # The rarest of each window, then each such place once.
-    best = F.min(F.struct("n", "token", "at")).over(item.rowsBetween(0, size - 1))
-    whole = ranked.withColumn("best", best).where(F.col("at") + F.col("size") <= F.size("item_words"))
-    once = whole.select("item_id", "item_words", "size", F.col("best.at").alias("at"), F.col("best.token").alias("token")).distinct()
-    part, start = _around("item_words", F.col("at"), F.col("size"))
-    before, after = F.when(F.col("at") > 0, F.get("item_words", F.col("at") - 1)), F.get("item_words", F.col("at") + 1)
-    return once.select("token", "item_id", "at", "size", F.size("item_words").alias("n_item"), before.alias("before"), after.alias("after"), part.alias("item_part"), start.alias("item_start"))
-
-
-def _near(before, after) -> F.Column:
-    """A window of several words holds a neighbour of its token, and it must agree."""
-    agrees = lambda word, other: F.coalesce(word == F.col(other), F.lit(False))
-    return (F.col("size") == 1) | agrees(before, "before") | agrees(after, "after")
-
-
-def _beside(worded: DataFrame, index: DataFrame) -> DataFrame:
-    """Candidates by a broadcast index: no document word is shuffled.
-
-    A null word closes each document: its place is the number of words, and the left join keeps it.
-    Generation, join, filter and the cut of the words around a candidate run in one generated stage,
-    which hands on candidates alone.
+    placed = worded.select("doc_id", "print", "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
+    pair, word = F.xxhash64("word", F.get("words", F.col("pos") + 1)), F.xxhash64("word")
+    here = F.col("word").isNotNull()
+    token = F.explode(F.when(here, F.array(pair, word)).otherwise(F.array(F.lit(None).cast("long")))) if single else F.when(here, pair)
+    return placed.select("doc_id", "print", "words", "pos", token.alias("token"))
+
+
+def _inside(n_words) -> F.Column:
+    """Length and positional bounds: the window lies inside the document."""
+    return (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("size") <= n_words)
+
+
+def _holds() -> F.Column:
+    return F.slice("words", F.greatest(F.col("pos") - F.col("at"), F.lit(0)) + 1, F.col("size")) == F.col("window")
+
+
+def _beside(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """Windows in documents by a broadcast index: no document word is shuffled.
+
+    Generation, join, bounds and verification run in one generated stage, which hands on hits and closing rows alone.
     """
-    closed = worded.select("doc_id", "print", "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
-    near = _near(F.when(F.col("pos") > 0, F.get("words", F.col("pos") - 1)), F.get("words", F.col("pos") + 1))
-    found = closed.join(F.broadcast(index), (F.col("word") == F.col("token")) & near, "left").where("word is null or token is not null")
-    return _cut(found, F.col("word").isNull())
-
-
-def _shuffled(worded: DataFrame, index: DataFrame) -> DataFrame:
-    """The same by a shuffle of (document, place, word, neighbours) by word; the texts join the candidates only."""
-    before, after = F.when(F.col("pos") > 0, F.get("words", F.col("pos") - 1)), F.get("words", F.col("pos") + 1)
-    placed = worded.select("doc_id", "print", "words", F.posexplode("words").alias("pos", "word"))
-    light = placed.select("doc_id", "print", "pos", "word", before.alias("word_before"), after.alias("word_after"))
-    hits = light.join(index, (F.col("word") == F.col("token")) & _near(F.col("word_before"), F.col("word_after"))).drop("word_before", "word_after", "word").distinct()
-    texts = worded.dropDuplicates(["doc_id", "print"]).select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "words")
-    open_ = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).drop("d", "p")
+    index = F.broadcast(index.withColumnRenamed("token", "rare"))
+    found = tokens.join(index, (F.col("token") == F.col("rare")) & _inside(F.size("words")) & _holds(), "left")
+    return _hits(found.where("token is null or rare is not null"), F.col("token").isNull())
+
+
+def _shuffled(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """The same by a shuffle of (document, place, token, length) by token; the texts join the candidates only."""
+    light = tokens.where("token is not null").select("doc_id", "print", "pos", "token", F.size("words").alias("n_words"))
+    near = light.join(index, "token").where(_inside(F.col("n_words"))).distinct()
+    closed = tokens.where("token is null")
+    texts = closed.dropDuplicates(["doc_id", "print"]).select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "words")
+    held = near.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).where(_holds())
     kinds = dict(index.dtypes)
-    closed = worded.select("doc_id", "print", "words", F.size("words").alias("pos"), *[F.lit(None).cast(kinds[c]).alias(c) for c in index.columns])
-    return _cut(open_, F.lit(False)).unionByName(_cut(closed, F.lit(True)))
+    ends = closed.select("doc_id", "print", "words", "pos", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("at", "size", "item_class")])
+    return _hits(held, F.lit(False)).unionByName(_hits(ends, F.lit(True)))
+
+
+def _hits(found: DataFrame, close: F.Column) -> DataFrame:
+    """doc_id, print, close, pos, span (of words; null on closing rows), item_class."""
+    start = F.col("pos") - F.col("at")
+    span = F.when(~close, F.struct(start.alias("start"), (start + F.col("size")).alias("end")))
+    return found.select("doc_id", "print", close.alias("close"), "pos", span.alias("span"), "item_class")
 
 
-def _cut(found: DataFrame, close: F.Column) -> DataFrame:
-    part, start = _around("words", F.col("pos"), F.col("size"))
-    return found.select("doc_id", "print", "pos", close.alias("close"), F.size("words").alias("n_doc"), part.alias("part"), start.alias("start"), "item_id", "at", "size", "n_item", "item_part", "item_start")
+def _covered(spans) -> F.Column:
+    """How many words the union of spans covers."""
+    zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
+    upto = lambda x, s: F.greatest(x["upto"], s["end"]).alias("upto")
+    more = lambda x, s: (x["n"] + F.greatest(s["end"] - F.greatest(x["upto"], s["start"]), F.lit(0))).alias("n")
+    return F.aggregate(F.array_sort(spans), zero, lambda x, s: F.struct(upto(x, s), more(x, s)), lambda x: x["n"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -105,34 +133,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     Very long texts are compared whole.
     """
     worded = docs.select("doc_id", text_print().alias("print"), words("text").alias("words"))
-    index = stored(item_index(items, worded, size), "item-index")
-    small = fits(index)
-    found = _beside(worded, index) if small else _shuffled(worded, index)
-    pos, at, width = F.col("pos"), F.col("at"), F.col("size")
-    first = F.greatest(F.lit(0), at - width + 1, at - pos)
-    last = F.least(at, F.col("n_item") - width, at - pos + F.col("n_doc") - width)
-    starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    held = F.filter(starts, lambda s: F.slice("part", pos - at + s - F.col("start") + 1, width) == F.slice("item_part", s - F.col("item_start") + 1, width))
-    # Windows of one place overlap or touch: their words, each once. -1 stands for the document itself.
-    spans = F.array_distinct(F.flatten(F.transform(held, lambda s: F.sequence(pos - at + s, pos - at + s + width - 1))))
-    rows = found.select("doc_id", "print", "pos", "close", "item_id", F.explode(F.when(F.col("close"), F.array(F.lit(-1))).otherwise(spans)).alias("word"))
+    windows, classes = item_windows(items, size)
+    index = item_index(windows, worded)
+    found = (_beside if fits(index) else _shuffled)(_tokens(worded, _single(windows)), index)
     key = ["doc_id", "print"]
-    distinct = rows.groupBy(*key, "close", "item_id", "word").agg(F.max("pos").alias("pos"), F.count("*").alias("n"))
-    of_doc = distinct.groupBy(*key).agg(
-        F.max(F.when(F.col("close"), F.col("pos"))).alias("n_words"),
-        F.max(F.when(F.col("close"), F.col("n"))).alias("copies"),
-        F.count_distinct(F.when(~F.col("close"), F.col("word"))).alias("n_hit"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+    # Repeated rows find the same spans, each kept once; their closing rows are counted.
+    judged = found.groupBy(*key).agg(
+        F.max(F.when(F.col("close"), F.col("pos"))).cast("long").alias("n_words"),
+        F.count_if("close").cast("int").alias("copies"),
+        _covered(F.collect_set("span")).alias("n_hit"),
+        F.collect_set("item_class").alias("held"),
     )
-    return of_doc.select(
+    judged = stored(judged, "judged")
+    named = judged.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.explode("held").alias("item_class")).join(sized(classes), "item_class")
+    named = stored(named.groupBy("d", "p").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")), "named")
+    whole = judged.join(sized(named), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")
+    items_ = F.coalesce("items", F.array().cast("array<string>"))
+    return whole.select(
         "doc_id",
-        F.col("n_words").cast("long").alias("n_words"),
+        "n_words",
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        F.size(items_).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
         "print",
-        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
+        F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"),
     ).drop("copy")
 
 

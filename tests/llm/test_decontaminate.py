@@ -55,3 +55,15 @@ def test_empty_tables(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert m.decontaminate(d.limit(0), b).count() == 0
     assert [r.n_hit for r in m.decontaminate(d, b.limit(0)).collect()] == [0] * 4
+
+
+def test_shared_passage_is_indexed_once(spark):
+    passage = " ".join(f"shared{i}" for i in range(10))
+    items = [(i, f"own{i} {passage} end{i}") for i in range(40)]
+    windows, classes = m.item_windows(spark.createDataFrame(items, "item_id long, text string"))
+    of = {" ".join(r.window): r.item_class for r in windows.collect()}
+    assert len(of) == 1 + 2 * 40
+    assert classes.where(classes.item_class == of[passage]).count() == 40
+    docs = [(1, f"a b {passage} c"), (2, passage), (3, "long " * 200_000 + passage), (4, passage[1:])]
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in m.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (10, 40), 2: (10, 40), 3: (10, 40), 4: (0, 0)}
