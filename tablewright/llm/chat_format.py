@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored, table
+from .common import bound_batches, released, stored, table
 
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
 MASKED_ROLE = "assistant"
@@ -88,6 +88,7 @@ def format_chats(conversations: DataFrame, tokenizer_path: str, segment: int = S
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text").select("conv_id", "role", "text")
 
+    @released
     def run(batches):
         formatter, now, number, held, size = Formatter(tokenizer_path), object(), 0, [], 0
         for batch in batches:
@@ -121,6 +122,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     ordered = formatted.select("conv_id", "segment", "formatted", "loss_spans").repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), "segment").select("conv_id", "formatted", "loss_spans")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
+    @released
     def run(batches):
         state = None
         for batch in batches:

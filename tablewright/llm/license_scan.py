@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents
+from .common import bound_batches, documents, released
 
 
 @dataclass(frozen=True)
@@ -126,6 +126,7 @@ def word_frequencies(docs: DataFrame, templates: list[Template] = TEMPLATES) ->
     bound_batches(docs.sparkSession)
     wanted = frozenset(w for t in templates for w in cut(t.key))
 
+    @released
     def run(batches):
         seen: Counter = Counter()
         for batch in batches:
@@ -152,6 +153,7 @@ def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, least_
     n_docs, frequency = word_frequencies(docs, templates)
     kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
+    @released
     def run(batches):
         scanner = Scanner(templates, n_docs, frequency)
         for batch in batches:

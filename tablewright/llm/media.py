@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import jpeg
-from .common import bound_batches, documents, stored
+from .common import bound_batches, documents, released, stored
 
 UNIT = 576
 #: Payload bytes that are encoded or decoded together.
@@ -42,6 +42,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
 
+    @released
     def run(batches):
         for batch in batches:
             sizes, media, group, held = [], [], [], 0
@@ -68,6 +69,7 @@ def read_media(media: DataFrame) -> DataFrame:
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
+    @released
     def run(batches):
         for batch in batches:
             rows = []

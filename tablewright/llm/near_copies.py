@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, sized, stored, text_print
+from .common import bound_batches, released, sized, stored, text_print
 from .components import components
 
 SEED = 42
@@ -103,6 +103,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, print, node (a hash of the words in order), size (distinct shingles), weight (bytes of the text), mins (the positional bytes)."""
     bound_batches(docs.sparkSession)
 
+    @released
     def run(batches):
         for batch in batches:
             node, size, weight, mins = [], [], [], []
@@ -170,6 +171,7 @@ def linked(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     keys = ["band", "key", "a", "b"]
     rows = blocks.join(texts, "node").select(*keys, "own", "node", "root", "mins", "text").repartition(*keys).sortWithinPartitions(*keys)
 
+    @released
     def run(batches):
         now, held = None, []
         for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, stored, table, text_print
+from .common import bound_batches, documents, released, stored, table, text_print
 
 WIDTH, FILTERS, STEP = 6, 24, 128
 #: Training: labelled rows of each class at most, bytes of one text and of all together at most (others
@@ -185,6 +185,7 @@ def quality_scores(docs: DataFrame, net: Network) -> DataFrame:
     bound_batches(spark)
     held = spark.sparkContext.broadcast(net)
 
+    @released
     def run(batches):
         model = held.value
         for batch in batches:

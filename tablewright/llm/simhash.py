@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import bound_batches, documents, sized, stored, text_print
+from .common import bound_batches, documents, released, sized, stored, text_print
 from .components import components
 from .near_copies import _LOWER, BLOCK_ROWS, SEED
 
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, print (a hash of the text), fp. A null text has no words."""
     bound_batches(docs.sparkSession)
 
+    @released
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.as_py()) for t in batch.column(2)]
@@ -105,6 +106,7 @@ def links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     keys = ["part", "bytes", "a", "b"]
     grouped = dealt.select("part", "bytes", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp").repartition(*keys).sortWithinPartitions(*keys)
 
+    @released
     def run(batches):
         kept = None  # the last group of a batch may go on in the next
         for batch in batches:

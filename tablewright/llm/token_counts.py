@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import PieceEncoder
-from .common import bound_batches, documents
+from .common import bound_batches, documents, released
 
 #: Code points of a chunk without its overlap, and of an overlap at first.
 CHUNK, OVERLAP = 32_768, 512
@@ -126,6 +126,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, chunk: int = CHUNK, overl
     """
     bound_batches(docs.sparkSession)
 
+    @released
     def run(batches):
         tokens = counter(tokenizer_path, chunk, overlap)
         for batch in batches:

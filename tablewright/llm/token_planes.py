@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh_path, shuffle_partitions
+from .common import bound_batches, fresh_path, released, shuffle_partitions
 from .storage import AtomicFile, make_dir, open_input
 
 MAGIC = b"TWPL"
@@ -197,6 +197,7 @@ def write_token_planes(
     ordered = ordered.repartitionByRange(n, F.asc_nulls_first("doc_id"), "print").sortWithinPartitions(F.asc_nulls_first("doc_id"), "print", "text").drop("print")
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
+    @released
     def write(batches):
         encode, shard = make_encoder(), TaskContext.get().partitionId()
         name = f"{path}/shard-{shard:06d}.twpl"
@@ -219,6 +220,7 @@ def write_token_planes(
 def read_token_planes(manifest: DataFrame) -> DataFrame:
     """Read shards back: doc_id, start, n_tokens, ids_crc32 of every document, a task for each shard."""
 
+    @released
     def read(batches):
         for batch in batches:
             for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, released, table
 
 MARK = b"\xff"
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -117,6 +117,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str =
     bound_batches(pages.sparkSession)
     ranked = sorted(rules, key=lambda r: -len(r[1]))
 
+    @released
     def run(batches):
         automaton = Automaton([Glob.of_rule(r) for _, r in ranked])
         for batch in batches:
