@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import tempfile
 import uuid
-from functools import wraps
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,26 +80,6 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def give_back() -> None:
-    """Return memory that this process has freed to the system: Arrow's pool, and the C library's where it can."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
-def released(run):
-    """``run`` of a mapInArrow, ended by :func:`give_back`: Spark reuses workers, which else keep the peak of each operator."""
-
-    @wraps(run)
-    def whole(batches):
-        yield from run(batches)
-        give_back()
-
-    return whole
-
-
 def _bytes(name: str, kind: str) -> Column:
     """About how many bytes a value takes."""
     if kind in ("string", "binary"):
