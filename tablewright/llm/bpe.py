@@ -89,24 +89,28 @@ class PieceEncoder:
     def _pack(ids) -> bytes:
         return array("I", ids).tobytes()
 
-    def _model(self, piece: str):
-        """Ids of " " and the letters of ``piece``: one pre-token, so the model alone does."""
+    def _model(self, piece: str, lead: str):
+        """Ids of ``lead`` and the letters of ``piece``: one pre-token, so the model alone does."""
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(self.space + mapped)]
+        return [t.id for t in self.model.tokenize(self.space + mapped if lead else mapped)]
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _ids(self, piece: str, lead: str) -> bytes:
-        if lead:
-            if _LETTERS.fullmatch(piece):
-                return self._pack(self._model(piece))
-            if m := _LETTERS_MARKS.fullmatch(piece):
-                return self.spaced[m[1]] + self.tail[m[2]]
+        held = self.spaced if lead else self.first
+        if (piece.isascii() and piece.isalpha()) or _LETTERS.fullmatch(piece):
+            return self._pack(self._model(piece, lead))
+        if m := _LETTERS_MARKS.fullmatch(piece):
+            return held[m[1]] + self.tail[m[2]]
         if m := _TWO_LINES.fullmatch(piece):  # a lone line feed between non-spaces is a pre-token of its own
-            return (self.spaced if lead else self.first)[m[1]] + self.tail["\n"] + self.first[m[2]]
+            return held[m[1]] + self.tail["\n"] + self.first[m[2]]
         return self._whole(lead + piece)
 
+    def cuts_all(self, text: str) -> bool:
+        """Is ``text`` cut at every space that it holds?"""
+        return self.cuts and not any(s in text for s in self.special) and not _ODD_SPACE.search(text)
+
     def pieces(self, text: str) -> list[str] | None:
         """The first piece, and the others without the space before them; None if the text is encoded whole."""
         if not self.cuts or any(s in text for s in self.special):

@@ -185,7 +185,7 @@ def write_token_planes(
     Rows: shard, path, n_docs, n_ids, start (ids of all shards before). Documents without an id come
     first; rows of one id are ordered by a hash of the text, then by text, so that the range shuffle can
     split an id (or no id) that many rows share; a null text is an empty one; very long texts are encoded
-    whole; other columns are ignored; an empty table gives empty shards. Each task streams one shard, and
+    whole; an encoder with a method ``many`` gets the texts of a batch together; other columns are ignored; an empty table gives empty shards. Each task streams one shard, and
     a shard appears under its name only when complete, so a task may run again. The manifest (a row for
     each shard) is the only thing that reaches the driver. Without ``shards`` there is one for each shuffle partition.
     """
@@ -199,12 +199,13 @@ def write_token_planes(
 
     def write(batches):
         encode, shard = make_encoder(), TaskContext.get().partitionId()
+        many = getattr(encode, "many", lambda texts: map(encode, texts))
         name = f"{path}/shard-{shard:06d}.twpl"
         with AtomicFile(name) as out:
             to = ShardWriter(out, mode, block, level)
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    to.add(doc_id, encode(text.as_py()) + end)
+                for doc_id, ids in zip(batch.column(0).to_pylist(), many(text.as_py() for text in batch.column(1)), strict=True):
+                    to.add(doc_id, ids + end)
             n_docs, n_ids = to.close()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
@@ -246,9 +247,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def piece_encoder(tokenizer_path: str) -> Callable[[], Callable[[str], bytes]]:
     def make():
-        from .bpe import encoder
+        from .piece_table import batch_encoder
 
-        return encoder(tokenizer_path).encode
+        return batch_encoder(tokenizer_path)
 
     return make
 
