@@ -39,6 +39,9 @@ FINANCIAL_TERMS = ["revenue", "income", "asset", "liabil", "equity", "cash", "ex
 CONFIDENCE_SIGNALS = ["table_unit", "period_header", "row_label", "source_evidence", "peer_period_values"]
 # End of fixed values.
 
+#: A text that is a number as it stands, or after a currency's code; most cells are, and need none of the steps that others do.
+_PLAIN = r"^[0-9]+(?:\.[0-9]+)?\z"
+_CODED = rf"^(?:{'|'.join(CURRENCIES)}) ?[0-9]+(?:\.[0-9]+)?\z"
 _NUMBER = r"^(\x01?[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:nan|inf|infinity)))$"
 
 
@@ -77,6 +80,11 @@ def has_digit(c: Column) -> Column:
     return c.rlike(r"\p{Nd}")
 
 
+def parse_cell(c: Column) -> Column:
+    """:func:`parse_number` of a column or a lambda's variable, which it names several times."""
+    return F.when(c.rlike(_PLAIN), c.try_cast("double")).when(c.rlike(_CODED), F.substring(c, 4, 1 << 30).try_cast("double")).otherwise(parse_number(c))
+
+
 def parse_number(c: Column | str) -> Column:
     """The number that a cell shows, as a double, or null.
 
@@ -85,6 +93,8 @@ def parse_number(c: Column | str) -> Column:
     trailing footnote marks. Percentages aren't scaled. Digits with underscores and full-width digits
     aren't numbers.
     """
+    if isinstance(c, str):
+        return parse_cell(F.col(c))
     # Each step refers to the one before once, so the expression stays small. \x01 marks a negative.
     text = F.regexp_replace(normalize_text(c), r"^[(（](.*)[)）]$", "\x01$1")
     text = F.regexp_replace(text, r"^[(（](?=.*\p{Nd})", "\x01")
@@ -102,6 +112,8 @@ def looks_like_period(c: Column | str) -> Column:
 
 def looks_numeric(c: Column | str) -> Column:
     """Would a reader take the cell for a number? Period labels aren't numbers."""
+    if isinstance(c, str):
+        return F.when(F.col(c).rlike(_PLAIN) | F.col(c).rlike(_CODED), True).otherwise(looks_numeric(F.col(c)))
     text = normalize_text(c)
     priced = text.rlike(rf"(?iU)[$￥¥%％]|\b({'|'.join(CURRENCIES)})\b")
     compact = F.regexp_replace(F.regexp_replace(text, r"(?U)[\s,，$￥¥%％()（）*†‡+\-—–]", ""), f"^(?i)({'|'.join(CURRENCIES)})", "")
@@ -168,8 +180,12 @@ def strip_context_unit(c: Column | str, units: Column | str) -> Column:
 
 def metric_kind(label: Column | str, period: Column | str, title: Column | str) -> Column:
     """The kind of figure by the first rule whose words occur in label, period or title."""
-    text = F.lower(normalize_text(F.concat_ws(" ", normalize_text(label), normalize_text(period), normalize_text(title))))
-    rule = lambda words: text.rlike("|".join(words))
+    return let(F.lower(normalize_text(F.concat_ws(" ", normalize_text(label), normalize_text(period), normalize_text(title)))), kind_of)
+
+
+def kind_of(text: Column) -> Column:
+    """:func:`metric_kind` of a lower-cased text, which is named once a word."""
+    rule = lambda words: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
     return reduce(lambda rest, k: F.when(rule(k[1]), k[0]).otherwise(rest), reversed(KINDS), F.lit("amount"))
 
 

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ci, normalize_text
+from ..functions.text import contains_ci, let, normalize_text
+from ..session import stored
+from .structure import cells_of, lines_of, nested, unfolded
 
 # Fixed values.
 THRESHOLDS = [("min_table_count", "table_count", ">="), ("min_row_count", "row_count", ">="), ("max_failed_count", "failed_count", "<="), ("max_warning_count", "warning_count", "<="), ("min_validation_pass_rate", "validation_pass_rate", ">=")]
@@ -39,16 +41,25 @@ def required_metrics(cells: DataFrame, metrics: DataFrame) -> DataFrame:
     expected_value, tolerance, evidence_required. Null conditions don't restrict. A match without
     evidence fails where evidence is required.
     """
-    m, c = metrics.alias("m"), cells.alias("c")
+    asked = metrics.select("task_id", _asked(metrics).alias("m"))
+    return _metric_verdicts(metrics, cells.join(asked, "task_id"))
+
+
+def _asked(metrics: DataFrame) -> Column:
+    return F.struct(*[F.col(c) for c in metrics.columns if c != "task_id"])
+
+
+def _metric_verdicts(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
+    """metric_id, observed, status from ``pairs``: cells beside a metric of their task, which is a struct ``m``."""
     open_ = lambda token, hit: F.coalesce(F.col(token) == "", F.lit(True)) | hit
     fits = (
-        (F.abs(F.col("c.value") - F.col("m.expected_value")) <= F.coalesce(F.col("m.tolerance"), F.lit(0.0)))
-        & open_("m.table_contains", contains_ci("c.table", "m.table_contains") | contains_ci("c.title", "m.table_contains"))
-        & open_("m.row_contains", contains_ci("c.item", "m.row_contains"))
-        & open_("m.unit_contains", contains_ci("c.unit", "m.unit_contains"))
-        & open_("m.period", F.col("c.period") == F.col("m.period"))
+        (F.abs(F.col("value") - F.col("m.expected_value")) <= F.coalesce(F.col("m.tolerance"), F.lit(0.0)))
+        & open_("m.period", F.col("period") == F.col("m.period"))
+        & open_("m.table_contains", contains_ci("table", "m.table_contains") | contains_ci("title", "m.table_contains"))
+        & open_("m.row_contains", contains_ci("item", "m.row_contains"))
+        & open_("m.unit_contains", contains_ci("unit", "m.unit_contains"))
     )
-    hits = m.join(c, (F.col("m.task_id") == F.col("c.task_id")) & fits).groupBy("m.metric_id").agg(F.min_by(F.struct("c.value", "c.has_evidence"), "c.seq").alias("hit"))
+    hits = pairs.where(fits).groupBy(F.col("m.metric_id").alias("metric_id")).agg(F.min_by(F.struct("value", "has_evidence"), "seq").alias("hit"))
     each = metrics.join(hits, "metric_id", "left")
     ok = F.col("hit").isNotNull() & (~F.coalesce("evidence_required", F.lit(False)) | F.col("hit.has_evidence"))
     return each.select("metric_id", F.col("hit.value").alias("observed"), F.when(ok, "pass").otherwise("fail").alias("status"))
@@ -115,17 +126,16 @@ def soak_stats(runs: DataFrame, key: str, value: str) -> DataFrame:
 def first_containing(tables: DataFrame, tokens: DataFrame) -> DataFrame:
     """task_id, token, table_seq: the first table whose name or title has the token."""
     hit = tokens.join(tables.select("task_id", "table_seq", "name", "title"), "task_id").where(contains_ci("name", "token") | contains_ci("title", "token"))
-    rank = F.row_number().over(Window.partitionBy("task_id", "token").orderBy("table_seq"))
-    return hit.withColumn("rank", rank).where("rank = 1").select("task_id", "token", "table_seq")
+    return hit.groupBy("task_id", "token").agg(F.min("table_seq").alias("table_seq"))
 
 
-def metric_cells(t) -> DataFrame:
-    """The cells of :class:`.structure.Tables` as :func:`required_metrics` takes them. Evidence is a page or box of the row or the table."""
-    row, table = ["task_id", "table_seq", "row_seq"], ["task_id", "table_seq"]
-    r = t.rows.select(*row, "item", (F.col("page").isNotNull() | F.col("bbox").isNotNull()).alias("row_told"))
-    h = t.tables.select(*table, F.col("name").alias("table"), "title", "unit", (F.col("page_start").isNotNull() | F.col("bbox").isNotNull()).alias("table_told"))
-    each = t.cells.join(r, row).join(h, table)
-    return each.select("task_id", "table", "title", "unit", "item", "period", "value", (F.col("row_told") | F.col("table_told")).alias("has_evidence"), F.struct("table_seq", "row_seq", "cell_index").alias("seq"))
+def metric_cells(t, whole: DataFrame | None = None) -> DataFrame:
+    """The cells of :class:`.structure.Tables` as :func:`required_metrics` takes them, with any other columns of ``whole``. Evidence is a page or box of the row or the table."""
+    known = nested(t)
+    whole = known if whole is None else whole
+    told = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ("page", "bbox", "page_start", "table_bbox")])
+    more = [c for c in whole.columns if c not in known.columns]
+    return unfolded(lines_of(whole)).select("task_id", F.col("name").alias("table"), "title", "unit", "item", "period", "value", told.alias("has_evidence"), F.struct("table_seq", "row_seq", "cell_index").alias("seq"), *more)
 
 
 def evaluate_results(t, quality: DataFrame, expected: DataFrame, tokens: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +147,9 @@ def evaluate_results(t, quality: DataFrame, expected: DataFrame, tokens: DataFra
     """
     limits = threshold_checks(quality, expected).select("task_id", "name", F.col("expected").cast("string").alias("what"), "status")
     named = required_tables(t.tables, tokens).select("task_id", F.lit("required_table").alias("name"), F.col("token").alias("what"), "status")
-    found = required_metrics(metric_cells(t), metrics).join(metrics.select("metric_id", "task_id"), "metric_id").select("task_id", F.lit("required_metric").alias("name"), F.col("metric_id").cast("string").alias("what"), "status")
+    # Metrics meet whole tables, which are opened there.
+    pairs = metric_cells(t, nested(t).join(metrics.select("task_id", _asked(metrics).alias("m")), "task_id"))
+    found = _metric_verdicts(metrics, pairs).join(metrics.select("metric_id", "task_id"), "metric_id").select("task_id", F.lit("required_metric").alias("name"), F.col("metric_id").cast("string").alias("what"), "status")
     checks = limits.unionByName(named).unionByName(found)
     scores = expected.select("task_id").distinct().join(score(checks), "task_id", "left").fillna(0, ["passed_count", "check_count"])
     return checks, scores.withColumns({"score": F.coalesce("score", F.lit(1.0)), "status": F.coalesce("status", F.lit("pass"))})
@@ -168,10 +180,25 @@ def case_tables(tables: DataFrame, cases: DataFrame) -> DataFrame:
     return cases.join(hits, ["task_id", "expected_table"], "left")
 
 
-def _label(c: str) -> Column:
+def _label(c: Column | str) -> Column:
     return F.lower(normalize_text(c))
 
 
+def _values_seen(whole: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """case_id, label, period, seen: the value in each of ``wanted`` (case_id, label, period) in the table of its case, as far as there is one.
+
+    Of equal labels and of equal periods the last counts. Tables are opened where their case is, so only
+    rows that a case asks for leave the nested form.
+    """
+    asked = wanted.groupBy("case_id").agg(F.collect_set("label").alias("asked"))
+    opened = found.select("case_id", "task_id", "table_seq").join(asked, "case_id").join(whole.select("task_id", "table_seq", "lines"), ["task_id", "table_seq"])
+    kept = F.array_compact(F.transform("lines", lambda x: let(_label(x["item"]), lambda label: F.when(F.array_contains("asked", label), F.struct(label.alias("label"), x.alias("line"))))))
+    lines = opened.select("case_id", F.explode(kept).alias("l")).select("case_id", "l.*")
+    last = lines.groupBy("case_id", "label").agg(F.max_by("line", F.col("line.row_seq")).alias("line"))
+    cells = last.select("case_id", "label", F.explode(cells_of(F.col("line"), whole)).alias("c"))
+    return cells.groupBy("case_id", "label", F.col("c.period").alias("period")).agg(F.max_by("c.value", "c.cell_index").alias("seen"))
+
+
 def layout_report(t, cases: DataFrame, periods: DataFrame, rows: DataFrame, values: DataFrame) -> DataFrame:
     """case_id, seven metrics and status of layout cases.
 
@@ -179,18 +206,16 @@ def layout_report(t, cases: DataFrame, periods: DataFrame, rows: DataFrame, valu
     (case_id, label), ``values`` (case_id, row, period, value, tolerance) what is expected. A metric without
     expectations is null; a case passes if no metric is below 1. A case whose table isn't found has matches of 0.
     """
-    found = case_tables(t.tables, cases)
+    found, whole = stored(case_tables(t.tables, cases)), nested(t)
     of = found.select("case_id", "task_id", "table_seq")
     have_periods = of.join(t.tables.select("task_id", "table_seq", F.explode("periods").alias("p")), ["task_id", "table_seq"]).select("case_id", _label("p").alias("label"))
-    have_rows = of.join(t.rows, ["task_id", "table_seq"]).select("case_id", _label("item").alias("label"), "task_id", "table_seq", "row_seq")
+    have_rows = of.join(whole.select("task_id", "table_seq", "lines"), ["task_id", "table_seq"]).select("case_id", F.explode(F.transform("lines", lambda x: _label(x["item"]))).alias("label"))
     ratio = lambda d, head: d.select("case_id", F.col("precision").alias(f"{head}_precision"), F.col("recall").alias(f"{head}_recall"))
     told = lambda d: d.select("case_id", _label("label").alias("label"))
     header = ratio(set_match(told(periods), have_periods, "case_id", "label"), "header")
-    lines = ratio(set_match(told(rows), have_rows.select("case_id", "label"), "case_id", "label"), "row")
-    last = have_rows.groupBy("case_id", "label").agg(F.max_by(F.struct("task_id", "table_seq", "row_seq"), "row_seq").alias("r")).select("case_id", "label", "r.*")
-    seen = last.join(t.cells, ["task_id", "table_seq", "row_seq"]).groupBy("case_id", "label", "period").agg(F.max_by("value", "cell_index").alias("seen"))
+    lines = ratio(set_match(told(rows), have_rows, "case_id", "label"), "row")
     want = values.select("case_id", _label("row").alias("label"), "period", "value", F.coalesce("tolerance", F.lit(0.0)).alias("tolerance"))
-    exact = want.join(seen, ["case_id", "label", "period"], "left").groupBy("case_id").agg(F.round(F.count_if(F.coalesce(F.abs(F.col("seen") - F.col("value")) <= F.col("tolerance"), F.lit(False))) / F.count("*"), 4).alias("numeric_exact_match"))
+    exact = want.join(_values_seen(whole, found, want), ["case_id", "label", "period"], "left").groupBy("case_id").agg(F.round(F.count_if(F.coalesce(F.abs(F.col("seen") - F.col("value")) <= F.col("tolerance"), F.lit(False))) / F.count("*"), 4).alias("numeric_exact_match"))
     held = found.join(t.tables.select("task_id", "table_seq", "unit", F.col("page_start").alias("at"), F.col("page_end").alias("to")), ["task_id", "table_seq"], "left")
     paged = F.col("page_start").isNotNull() | F.col("page_end").isNotNull()
     span = F.col("at").eqNullSafe(F.col("page_start")) & F.col("to").eqNullSafe(F.col("page_end"))
@@ -214,21 +239,22 @@ def edge_checks(t, cases: DataFrame, metrics: DataFrame, periods: DataFrame, for
     (case_id, token) and ``flags`` (case_id, flag, expected); seen are ``warnings`` (task_id, type) and
     ``observed`` flags (task_id, flag, value). Without its table a case's metrics fail, its forbidden rows and periods pass.
     """
-    found = case_tables(t.tables, cases)
+    found, whole = stored(case_tables(t.tables, cases)), nested(t)
     of = found.select("case_id", "task_id", "table_seq")
     verdict = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail").alias("status")
     check = lambda d, name, what, ok: d.select("case_id", F.lit(name).alias("name"), F.col(what).cast("string").alias("what"), verdict(ok))
     there = check(found, "table_found", "expected_table", F.col("table_seq").isNotNull())
-    rows = of.join(t.rows, ["task_id", "table_seq"]).select("case_id", "task_id", "table_seq", "row_seq", "item", _label("item").alias("label"))
-    last = rows.groupBy("case_id", "label").agg(F.max_by(F.struct("task_id", "table_seq", "row_seq"), "row_seq").alias("r")).select("case_id", "label", "r.*")
-    seen = last.join(t.cells, ["task_id", "table_seq", "row_seq"]).groupBy("case_id", "label", "period").agg(F.max_by("value", "cell_index").alias("seen"))
-    told = metrics.withColumn("label", _label("row")).join(seen, ["case_id", "label", "period"], "left")
+    wanted = metrics.withColumn("label", _label("row"))
+    told = wanted.join(_values_seen(whole, found, wanted), ["case_id", "label", "period"], "left")
     exact = check(told, "required_metric", "row", F.abs(F.col("seen") - F.col("value")) <= METRIC_TOLERANCE)
     warned = found.join(warnings.select("task_id", F.col("type").alias("expected_warning_type"), F.lit(True).alias("hit")).distinct(), ["task_id", "expected_warning_type"], "left")
     warning = check(warned, "warning_type", "expected_warning_type", F.col("hit") | (F.coalesce("expected_warning_type", F.lit("")) == ""))
     equal = flags.join(of, "case_id").join(observed, ["task_id", "flag"], "left")
     flag = check(equal, "edge_flag", "flag", F.col("value") == F.col("expected"))
-    hits = forbidden.join(rows, "case_id", "left").groupBy("case_id", "token").agg(F.bool_or(F.coalesce(F.contains("label", F.lower("token")), F.lit(False))).alias("hit"))
+    tokens = forbidden.groupBy("case_id").agg(F.collect_set(F.struct("token")).alias("tokens"))
+    opened = tokens.join(of, "case_id", "left").join(whole.select("task_id", "table_seq", F.transform("lines", lambda x: _label(x["item"])).alias("labels")), ["task_id", "table_seq"], "left")
+    hit = lambda token: let(F.lower(token), lambda low: F.exists(F.coalesce("labels", F.array().cast("array<string>")), lambda label: F.contains(label, low)))
+    hits = opened.select("case_id", F.explode(F.transform("tokens", lambda token: F.struct(token["token"].alias("token"), F.coalesce(hit(token["token"]), F.lit(False)).alias("hit")))).alias("x")).select("case_id", "x.*")
     noise = check(hits, "forbidden_row", "token", ~F.col("hit"))
     have = found.join(t.tables.select("task_id", "table_seq", F.transform("periods", lambda p: F.lower(normalize_text(p))).alias("have")), ["task_id", "table_seq"], "left").select("case_id", "have")
     asked = periods.join(have, "case_id")

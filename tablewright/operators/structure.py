@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import extract_text
-from ..functions.text import first_text, normalize_text, parse_number, slugify_name, unit_from_text
-from ..session import checkpointed
+from ..functions.text import first_text, let, normalize_text, parse_cell, parse_number, slugify_name, unit_from_text
+from ..session import checkpointed, stored
 
 # Fixed values.
 TABLE_TYPES = ["table", "simple_table", "complex_table"]
@@ -27,11 +27,15 @@ NARRATIVES = [("Annual revenue", "annual", "revenue"), ("Operating income", "ope
 
 @dataclass
 class Tables:
-    """tables (task_id, table_seq, name, title, unit, ...), rows (..., row_seq, item, ...), cells (..., cell_index, period, raw, value)."""
+    """tables (task_id, table_seq, name, title, unit, ...), rows (..., row_seq, item, ...), cells (..., cell_index, period, raw, value).
+
+    ``nested``, if there, is the same with a row a table (see :func:`nested`), so that no join is needed to bring the three together.
+    """
 
     tables: DataFrame
     rows: DataFrame
     cells: DataFrame
+    nested: DataFrame | None = None
 
 
 def _get(path: str, kind: str = "variant", of: str = "content") -> Column:
@@ -111,12 +115,32 @@ def row_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
     return cells.select(*keys, "row_seq", "cell_index", period.alias("period"), "raw", parse_number("raw").alias("value"))
 
 
+def _lines(rows: Column) -> Column:
+    """The rows of a variant (an array, or an object's values in the order of its keys) that are objects: array<struct<row_seq, item, row_type, components, own_page, raws>>."""
+    given = F.coalesce(F.try_variant_get(rows, "$", "array<variant>"), F.map_values(F.try_variant_get(rows, "$", "map<string,variant>")))
+
+    def line(row: Column, at: Column) -> Column:
+        told = lambda k: let(_get(k, "string", row), lambda v: F.when(v.isNotNull(), let(normalize_text(v), lambda t: F.when(t != "", t))))
+        of = lambda otherwise, *ks: F.coalesce(*map(told, ks), F.lit(otherwise))
+        texts = lambda *ks: F.coalesce(*[_get(k, "array<string>", row) for k in ks], F.array().cast("array<string>"))
+        is_object = _get("label", "variant", row).isNotNull() | F.schema_of_variant(row).startswith("OBJECT")
+        return F.when(is_object, F.struct(
+            at.alias("row_seq"), of("", "label", "item", "name", "text").alias("item"), of("line", "row_type").alias("row_type"),
+            F.transform(texts("components"), normalize_text).alias("components"), _get("page_idx", "int", row).alias("own_page"), texts("values", "cells", "data").alias("raws"),
+        ))
+
+    return F.array_compact(F.transform(given, line))
+
+
 def normalize_tables(blocks: DataFrame) -> Tables:
-    """Table blocks with context (see :func:`carry_context`) as tables, rows and cells; table_seq is block_seq."""
+    """Table blocks with context (see :func:`carry_context`) as tables, rows and cells; table_seq is block_seq.
+
+    Tables are read from the blocks once and stored with their lines; rows and cells are unfolded from there.
+    """
     from .html_grid import first_grid
 
     keys = ["task_id", "table_seq"]
-    text = lambda k: F.coalesce(_get(k, "string"), extract_text(_get(k)))
+    text = lambda k: F.coalesce(_get(k, "string"), F.lit(""))
     src = blocks.where("is_table").withColumn("table_seq", F.col("block_seq"))
     title = first_text(text("title"), text("caption"), text("table_caption"), "context_title", "title", "text")
     fallback = F.concat(F.lit("table_"), F.coalesce("page_idx", F.lit(0)).cast("string"))
@@ -127,37 +151,67 @@ def normalize_tables(blocks: DataFrame) -> Tables:
         "declared": F.filter(F.coalesce(_get("periods", "array<string>"), F.slice(F.element_at(_get("headers", "array<array<string>>"), -1), F.lit(2), F.lit(1 << 20)), F.array().cast("array<string>")), lambda p: normalize_text(p) != ""),
     })
     named = named.withColumn("name", slugify_name(F.coalesce(F.nullif(F.col("title_text"), F.lit("")), text("name"), fallback)))
-    grids = named.where("html is not null").select(*keys, first_grid("html").alias("grid"))
-    from_html = grid_rows(grids, keys).select(*keys, "row_seq", "item", F.col("periods").alias("labels"), "raws", F.lit("line").alias("row_type"), F.array().cast("array<string>").alias("components"), F.lit(None).cast("int").alias("own_page"), "periods")
-    from_rows = named.where("html is null").sparkSession.sql(
-        """
-        SELECT s.task_id, s.table_seq, r.pos AS row_seq, r.value AS row, s.declared FROM {s} s,
-          LATERAL variant_explode(coalesce(try_variant_get(s.content, '$.rows', 'variant'), try_variant_get(s.content, '$.table_rows', 'variant'))) r
-        WHERE schema_of_variant(r.value) LIKE 'OBJECT%'
-        """,
-        s=named.where("html is null").select(*keys, "content", "declared"),
-    )
-    of = lambda *ks: first_text(*[_get(k, "string", "row") for k in ks])
-    raws = F.coalesce(*[_get(k, "array<string>", "row") for k in ("values", "cells", "data")], F.array().cast("array<string>"))
-    counted = F.transform(F.when(F.size("raws") > 0, F.sequence(F.lit(0), F.size("raws") - 1)).otherwise(F.array().cast("array<int>")), lambda i: i.cast("string"))
-    plain = from_rows.withColumn("raws", raws).select(
-        *keys, "row_seq", of("label", "item", "name", "text").alias("item"),
-        F.when((F.size("declared") > 0) & (F.size("declared") == F.size("raws")), F.col("declared")).otherwise(counted).alias("labels"), "raws",
-        F.coalesce(F.nullif(of("row_type"), F.lit("")), F.lit("line")).alias("row_type"),
-        F.transform(F.coalesce(_get("components", "array<string>", "row"), F.array().cast("array<string>")), normalize_text).alias("components"),
-        _get("page_idx", "int", "row").alias("own_page"), F.lit(None).cast("array<string>").alias("periods"),
-    )
-    every = from_html.unionByName(plain)
-    page = named.select(*keys, F.col("page_idx").alias("table_page"), "bbox")
-    rows = every.join(page, keys).withColumn("page", F.coalesce("own_page", "table_page"))
-    inferred = from_html.groupBy(*keys).agg(F.first("periods").alias("inferred"))
-    tables = named.join(inferred, keys, "left").select(
-        *keys, "name", F.coalesce(F.nullif(F.col("title_text"), F.lit("")), F.col("name")).alias("title"), "unit", normalize_text(_get("table_type", "string")).alias("table_type"),
-        extract_text(_get("table_footnote")).alias("footnote"), F.when(F.size("inferred") > 0, F.col("inferred")).otherwise(F.col("declared")).alias("periods"),
-        *_input(blocks), F.col("page_idx").alias("page_start"), F.col("page_idx").alias("page_end"), "bbox", F.coalesce(F.nullif(normalize_text("role"), F.lit("")), F.lit("unknown")).alias("role") if "role" in blocks.columns else F.lit("unknown").alias("role"),
-    )
-    kept = rows.select(*keys, "row_seq", "item", "row_type", "components", "page", "bbox")
-    return Tables(tables, kept, row_cells(rows, keys))
+    role = F.coalesce(F.nullif(normalize_text("role"), F.lit("")), F.lit("unknown")) if "role" in blocks.columns else F.lit("unknown")
+    base = stored(named.select(
+        *keys, *_input(blocks), "name", F.coalesce(F.nullif(F.col("title_text"), F.lit("")), F.col("name")).alias("title"), "unit", normalize_text(_get("table_type", "string")).alias("table_type"),
+        F.coalesce(_get("table_footnote", "string"), F.lit("")).alias("footnote"), F.when(F.schema_of_variant(_get("table_footnote")) != "STRING", F.to_json(_get("table_footnote"))).alias("footnote_json"), "declared", "page_idx", "bbox", role.alias("role"), "html", F.when(F.col("html").isNull(), _lines(F.coalesce(_get("rows"), _get("table_rows")))).alias("lines"),
+    ))
+    has_html, has_footnotes = base.agg(*[F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)) for c in ("html", "footnote_json")]).first()
+    footnote = normalize_text("footnote")
+    if has_footnotes:
+        footnote = F.when(F.col("footnote_json").isNotNull(), extract_text(F.parse_json("footnote_json"))).otherwise(footnote)
+    plain, drawn = base.where("html is null"), base.where("html is not null")
+    head = lambda d, periods: d.select(*keys, "name", "title", "unit", "table_type", footnote.alias("footnote"), periods.alias("periods"), *_input(blocks), F.col("page_idx").alias("page_start"), F.col("page_idx").alias("page_end"), "bbox", "role")
+    tables, kept = head(plain, F.col("declared")), ["row_seq", "item", "row_type", "components", "page", "bbox"]
+    lines = plain.select(*keys, "page_idx", "bbox", F.explode("lines").alias("l")).select(*keys, "page_idx", "bbox", "l.*")
+    rows = lines.withColumn("page", F.coalesce("own_page", "page_idx")).select(*keys, *kept)
+    whole = plain.select(*keys, "name", "title", "unit", "role", F.col("page_idx").alias("page_start"), F.col("bbox").alias("table_bbox"), F.transform("lines", lambda x: F.struct(x["row_seq"].alias("row_seq"), x["item"].alias("item"), F.coalesce(x["own_page"], "page_idx").alias("page"), F.col("bbox").alias("bbox"), x["row_type"].alias("row_type"), x["raws"].alias("raws"), F.when((F.size("declared") > 0) & (F.size("declared") == F.size(x["raws"])), F.col("declared")).alias("labels"))).alias("lines"))
+    cells = unfolded(lines_of(whole)).select(*keys, "row_seq", "cell_index", "period", "raw", "value")
+    if has_html:
+        grids = stored(drawn.drop("lines").withColumn("grid", first_grid("html")).drop("html"))
+        from_html = grid_rows(grids, [*keys, "page_idx", "bbox"])
+        inferred = from_html.groupBy(*keys).agg(F.first("periods").alias("inferred"))
+        tables = tables.unionByName(head(grids.join(inferred, keys, "left"), F.when(F.size("inferred") > 0, F.col("inferred")).otherwise(F.col("declared"))))
+        rows = rows.unionByName(from_html.select(*keys, "row_seq", "item", F.lit("line").alias("row_type"), F.array().cast("array<string>").alias("components"), F.col("page_idx").alias("page"), "bbox"))
+        cells = cells.unionByName(row_cells(from_html.withColumn("labels", F.col("periods")), keys))
+    return Tables(tables, rows, cells, None if has_html else whole)
+
+
+def nested(t: Tables) -> DataFrame:
+    """A row a table: task_id, table_seq, name, title, unit, role, page_start, table_bbox and lines, an array of rows (row_seq, item, page, bbox, row_type) that :func:`cells_of` takes."""
+    if t.nested is not None:
+        return t.nested
+    table, row = ["task_id", "table_seq"], ["task_id", "table_seq", "row_seq"]
+    cells = t.cells.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("cell_index", "period", "raw", "value"))).alias("cells"))
+    line = F.struct("row_seq", "item", "page", "bbox", "row_type", F.coalesce("cells", F.array().cast("array<struct<cell_index:int,period:string,raw:string,value:double>>")).alias("cells"))
+    lines = t.rows.join(cells, row, "left").groupBy(*table).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    of = t.tables.select(*table, "name", "title", "unit", "role", "page_start", F.col("bbox").alias("table_bbox"))
+    return of.join(lines, table, "left")
+
+
+def cells_of(line: Column, whole: DataFrame) -> Column:
+    """The cells of a line of :func:`nested`: array<struct<cell_index, period, raw, value>>."""
+    if "cells" in whole.schema["lines"].dataType.elementType.names:
+        return line["cells"]
+    return F.transform(line["raws"], lambda raw, i: F.struct(i.alias("cell_index"), F.coalesce(F.get(line["labels"], i), i.cast("string")).alias("period"), raw.alias("raw"), parse_cell(raw).alias("value")))
+
+
+def lines_of(whole: DataFrame) -> DataFrame:
+    """The rows of :func:`nested` with any other columns that ``whole`` has."""
+    rest = [c for c in whole.columns if c != "lines"]
+    return whole.select(*rest, F.explode("lines").alias("line")).select(*rest, "line.*")
+
+
+def unfolded(lines: DataFrame) -> DataFrame:
+    """The cells of :func:`lines_of` with the other columns of ``lines``, and is_last: is a cell the last of its row with its period?"""
+    rest = [c for c in lines.columns if c not in ("raws", "labels", "cells")]
+    if "cells" in lines.columns:
+        later = F.transform(F.slice("cells", F.col("at") + 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: c["period"])
+        return lines.select(*rest, "cells", F.posexplode("cells").alias("at", "cell")).select(*rest, "cell.*", (~F.array_contains(later, F.col("cell.period"))).alias("is_last"))
+    each = lines.select(*rest, "labels", (F.size(F.array_distinct("labels")) < F.size("labels")).alias("repeated"), F.posexplode("raws").alias("cell_index", "raw"))
+    later = F.slice("labels", F.col("cell_index") + 2, F.greatest(F.size("labels"), F.lit(1)))
+    is_last = F.when(F.col("repeated"), ~F.array_contains(later, F.get("labels", F.col("cell_index")))).otherwise(True)
+    return each.select(*rest, "cell_index", F.coalesce(F.get("labels", F.col("cell_index")), F.col("cell_index").cast("string")).alias("period"), "raw", parse_number("raw").alias("value"), is_last.alias("is_last"))
 
 
 def merge_islands(tables: DataFrame) -> DataFrame:
@@ -196,7 +250,7 @@ def chart_tables(blocks: DataFrame) -> Tables:
     """Chart blocks as tables: series rows, then annotation rows; charts without rows are dropped. table_seq is block_seq."""
     keys = ["task_id", "table_seq"]
     src = blocks.where("is_chart").withColumn("table_seq", F.col("block_seq"))
-    text = lambda k: F.coalesce(_get(k, "string"), extract_text(_get(k)))
+    text = lambda k: F.coalesce(_get(k, "string"), F.lit(""))
     axis = F.filter(F.coalesce(*[_get(k, "array<string>") for k in ("periods", "x_axis", "categories")], F.array().cast("array<string>")), lambda p: normalize_text(p) != "")
     named = src.withColumns({"title_text": first_text(text("title"), text("caption"), "title", "text"), "chart_type": first_text(_get("chart_type", "string"), F.lit("chart")), "unit": F.coalesce(F.nullif(first_text(text("unit"), text("value_unit"), text("y_axis_unit"), "context_unit"), F.lit("")), F.lit("mixed")), "axis": axis})
     base = named.select(*keys, "content", "axis", "chart_type", "page_idx")
