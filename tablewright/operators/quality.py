@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import financial_relevance, looks_numeric, normalize_text, safe_ratio
+from ..session import dealt
 
 # Fixed values.
 SUM_TOLERANCE = 1e-6
@@ -31,10 +32,10 @@ KEY = ["task_id", "table_seq"]
 CHECK = "task_id long, table_seq long, type string, row string, status string, detail string"
 
 
-def row_index(rows: DataFrame) -> DataFrame:
-    """Rows by lower-cased label, the last of equal labels: task_id, table_seq, label, row_seq."""
-    label = F.lower(normalize_text("item"))
-    return rows.where(label != "").groupBy(*KEY, label.alias("label")).agg(F.max("row_seq").alias("row_seq"))
+def row_index(rows: DataFrame, n: int = 0) -> DataFrame:
+    """Rows by lower-cased label, the last of equal labels: task_id, table_seq, label, row_seq. ``n``: how many rows there are, if known."""
+    labelled = rows.select(*KEY, F.lower(normalize_text("item")).alias("label"), "row_seq").where("label <> ''")
+    return (dealt(labelled, n, *KEY, "label") if n else labelled).groupBy(*KEY, "label").agg(F.max("row_seq").alias("row_seq"))
 
 
 def component_sums(rows: DataFrame, cells: DataFrame, tolerance: float = SUM_TOLERANCE) -> DataFrame:
@@ -42,20 +43,26 @@ def component_sums(rows: DataFrame, cells: DataFrame, tolerance: float = SUM_TOL
 
     Components that aren't found are left out, unless none is (warn); one named twice counts twice.
     Periods without a total or without any component value are skipped. Equal periods of a row: the last.
+    Each join is dealt by its keys over a number of tasks that grows with the rows.
     """
-    wanted = rows.select(*KEY, "row_seq", "item", F.explode("components").alias("component")).where(normalize_text("component") != "")
-    index = row_index(rows).withColumnRenamed("row_seq", "component_seq")
-    linked = wanted.withColumn("label", F.lower(normalize_text("component"))).join(index, [*KEY, "label"], "left")
-    values = cells.groupBy(*KEY, "row_seq", "period").agg(F.max_by("value", "cell_index").alias("value")).where("value is not null")
-    parts = linked.where("component_seq is not null").join(values.withColumnRenamed("row_seq", "component_seq"), [*KEY, "component_seq"])
-    sums = parts.groupBy(*KEY, "row_seq", "period").agg(F.sum("value").alias("total"))
-    compared = sums.join(values, [*KEY, "row_seq", "period"]).where(F.abs(F.col("value") - F.col("total")) > tolerance)
+    totals = rows.where(F.size("components") > 0)
+    detail_of = lambda d, status, detail: d.select(*KEY, F.lit("sum_check").alias("type"), F.col("item").alias("row"), status.alias("status"), detail.alias("detail"))
+    named = totals.select(F.sum(F.size("components").cast("long"))).first()[0]
+    if not named:
+        return detail_of(rows.where(F.lit(False)), F.lit(""), F.lit(""))
+    n, row, part = max(named, rows.count()), [*KEY, "row_seq"], [*KEY, "component_seq"]
+    wanted = totals.select(*row, "item", F.explode("components").alias("component")).where(normalize_text("component") != "")
+    index = row_index(rows, n).withColumnRenamed("row_seq", "component_seq")
+    linked = dealt(wanted.select(*row, "item", F.lower(normalize_text("component")).alias("label")), n, *KEY, "label").join(index, [*KEY, "label"], "left")
+    values = dealt(cells.select(*row, "cell_index", "period", "value"), n, *row).groupBy(*row, "period").agg(F.max_by("value", "cell_index").alias("value")).where("value is not null")
+    parts = dealt(linked.where("component_seq is not null").select(*row, "component_seq"), n, *part).join(values.withColumnRenamed("row_seq", "component_seq"), part)
+    sums = dealt(parts.select(*row, "period", "value"), n, *row, "period").groupBy(*row, "period").agg(F.sum("value").alias("total"))
+    compared = sums.join(dealt(values, n, *row, "period"), [*row, "period"]).where(F.abs(F.col("value") - F.col("total")) > tolerance)
     text = F.format_string("%s: expected %s, got %s", "period", F.col("value").cast("string"), F.col("total").cast("string"))
-    wrong = compared.groupBy(*KEY, "row_seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("period", text.alias("text")))), lambda x: x["text"]), "; ").alias("wrong"))
-    each = linked.groupBy(*KEY, "row_seq", "item").agg(F.count("component_seq").alias("found")).join(wrong, [*KEY, "row_seq"], "left")
+    wrong = dealt(compared, n, *row).groupBy(*row).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("period", text.alias("text")))), lambda x: x["text"]), "; ").alias("wrong"))
+    each = dealt(linked.select(*row, "item", "component_seq"), n, *row).groupBy(*row, "item").agg(F.count("component_seq").alias("found")).join(wrong, row, "left")
     status = F.when(F.col("found") == 0, "warn").when(F.col("wrong").isNotNull(), "fail").otherwise("pass")
-    detail = F.when(F.col("found") == 0, DETAILS["unfound"]).otherwise(F.coalesce("wrong", F.lit(DETAILS["sum"])))
-    return each.select(*KEY, F.lit("sum_check").alias("type"), F.col("item").alias("row"), status.alias("status"), detail.alias("detail"))
+    return detail_of(each, status, F.when(F.col("found") == 0, DETAILS["unfound"]).otherwise(F.coalesce("wrong", F.lit(DETAILS["sum"]))))
 
 
 def numeric_parse_checks(rows: DataFrame, cells: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import evaluate, quality, reconcile, references, repair, structure
 from .plans import routing, steps
+from .session import dealt, stored
 from .sources import artifacts, html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,12 +184,13 @@ def _statement(spark, sf_dir):
     from pyspark.sql import Window
 
     li = lines(spark, sf_dir, "l_partkey")
+    li = dealt(li, li.count(), "l_orderkey")
     key = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "cents")
     each = li.select(F.col("l_orderkey").alias("task_id"), F.lit(0).alias("table_seq"), F.row_number().over(key).alias("row_seq"), "cents")
     rows = each.withColumns({"item": F.concat(F.lit("Line "), F.col("row_seq").cast("string")), "components": F.array().cast("array<string>")})
     total = rows.groupBy("task_id", "table_seq").agg(F.lit(0).alias("row_seq"), F.sum("cents").alias("cents"), F.lit("Total").alias("item"), F.collect_list(F.upper("item")).alias("components"))
     total = total.withColumn("cents", F.col("cents") + (F.col("task_id") % 7 == 0).cast("long"))
-    every = rows.select(*total.columns).union(total)
+    every = stored(rows.select(*total.columns).union(total))
     return every, every.select("task_id", "table_seq", "row_seq", F.lit(0).alias("cell_index"), F.lit("price").alias("period"), F.col("cents").cast("string").alias("raw"), F.col("cents").cast("double").alias("value"))
 
 
