@@ -42,6 +42,8 @@ CONFIDENCE_SIGNALS = ["table_unit", "period_header", "row_label", "source_eviden
 #: A text that is a number as it stands, or after a currency's code; most cells are, and need none of the steps that others do.
 _PLAIN = r"^[0-9]+(?:\.[0-9]+)?\z"
 _CODED = rf"^(?:{'|'.join(CURRENCIES)}) ?[0-9]+(?:\.[0-9]+)?\z"
+#: What no number has: a character that no number is written with, or two letters behind a digit.
+_NEVER = r"[^0-9.+\-a-fhikmnrstuyA-FHIKMNRSTUY()（）,，%％￥¥$*†‡\x01\p{IsWhite_Space}\x1c-\x1f]|[0-9][,， %％￥¥$]*[A-Za-z]{2}"
 _NUMBER = r"^(\x01?[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:nan|inf|infinity)))$"
 
 
@@ -82,7 +84,7 @@ def has_digit(c: Column) -> Column:
 
 def parse_cell(c: Column) -> Column:
     """:func:`parse_number` of a column or a lambda's variable, which it names several times."""
-    return F.when(c.rlike(_PLAIN), c.try_cast("double")).when(c.rlike(_CODED), F.substring(c, 4, 1 << 30).try_cast("double")).otherwise(parse_number(c))
+    return F.when(c.rlike(_PLAIN), c.try_cast("double")).when(c.rlike(_CODED), F.substring(c, 4, 1 << 30).try_cast("double")).when(c.rlike(_NEVER), F.lit(None)).otherwise(parse_number(c))
 
 
 def parse_number(c: Column | str) -> Column:
@@ -173,8 +175,17 @@ def strip_context_unit(c: Column | str, units: Column | str) -> Column:
     Longer tokens are tried first at each place. Latin tokens go at word borders only, without case.
     """
     ordered = sorted(UNIT_TOKENS, key=lambda t: (-len(t), UNIT_TOKENS.index(t)))
-    named = let(F.lower(normalize_text(units)), lambda text: F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), rf"\b{t}\b" if t.isascii() else t) for t in ordered])))
-    cut = let(F.array_join(named, "|"), lambda p: F.when(p != "", F.regexp_replace(_col(c), F.concat(F.lit("(?iU)"), p), F.lit(""))))
+    named = let(F.lower(normalize_text(units)), lambda text: F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), t) for t in ordered])))
+    # The named tokens stand behind the cell, where the one pattern of all tokens looks for what it found: a pattern of each row's own would be compiled each time.
+    latin, other = ("|".join(t for t in ordered if t.isascii() == kind) for kind in (True, False))
+    first = "".join(dict.fromkeys(x for t in ordered for x in (t[0], t[0].upper())))
+    pattern = rf"(?siU)(?=(?-i:[{first}]))(?:\b({latin})\b(?=.*\x02[^\x02]*\|\1\|[^\x02]*$)|({other})(?=.*\x02[^\x02]*\|\2\|[^\x02]*$))"
+
+    def without(behind: Column) -> Column:
+        left = F.regexp_replace(F.concat(_col(c), behind), pattern, "")
+        return let(left, lambda text: F.substring(text, F.lit(1), F.length(text) - F.length(behind)))
+
+    cut = let(F.array_join(named, "|"), lambda p: F.when(p != "", let(F.concat(F.lit("\x02|"), p, F.lit("|")), without)))
     return let(normalize_text(cut), lambda left: F.when(left != "", left))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fix_ocr_digits, has_digit, let, normalize_text, parse_number, repair_confidence, strip_context_unit
+from ..functions.text import fix_ocr_digits, has_digit, let, normalize_text, parse_cell, repair_confidence, strip_context_unit
 
 # Fixed values.
 DIGIT_BASE, UNIT_BASE, LOGGED, SHOWN_PEERS = 0.72, 0.82, 50, 3
@@ -23,13 +23,13 @@ def candidate(raw: Column | str, units: Column | str) -> Column:
 
     def cut_units(text: Column, digits: Column) -> Column:
         reason = F.when(digits != text, "contextual_ocr_unit_suffix").otherwise("contextual_unit_suffix")
-        return let(strip_context_unit(digits, units), lambda s: let(parse_number(s), lambda v: F.when((s != digits) & v.isNotNull(), made(s, v, reason, UNIT_BASE))))
+        return let(strip_context_unit(digits, units), lambda s: let(parse_cell(s), lambda v: F.when((s != digits) & v.isNotNull(), made(s, v, reason, UNIT_BASE))))
 
     def confused(text: Column, digits: Column) -> Column:
-        return let(parse_number(digits), lambda v: F.when((digits != text) & v.isNotNull(), made(digits, v, F.lit("ocr_digit_confusion"), DIGIT_BASE)))
+        return let(parse_cell(digits), lambda v: F.when((digits != text) & v.isNotNull(), made(digits, v, F.lit("ocr_digit_confusion"), DIGIT_BASE)))
 
     fix = lambda text: let(fix_ocr_digits(text), lambda digits: F.coalesce(confused(text, digits), cut_units(text, digits)))
-    return let(normalize_text(raw), lambda text: F.when(parse_number(text).isNull() & has_digit(text), fix(text)))
+    return let(normalize_text(raw), lambda text: F.when(parse_cell(text).isNull() & has_digit(text), fix(text)))
 
 
 def fixes(df: DataFrame, raw: Column | str, units: Column | str) -> DataFrame:
