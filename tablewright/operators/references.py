@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import metric_kind, normalize_text, reference_mentions, year_from_text
+from ..functions.text import kind_of, normalize_text, reference_mentions, year_from_text
 
 # Fixed values.
 KIND_POINTS, AMOUNT_POINTS, PERIOD_POINTS, WORD_POINTS = 6.0, 3.0, 2.0, 0.5
@@ -15,15 +15,22 @@ AMOUNT_KINDS = ["revenue", "profit", "cash_flow", "amount"]
 # End of fixed values.
 
 
-def metric_candidates(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
+def metric_candidates(t) -> DataFrame:
     """All cells with a value: task_id, cand_seq, table, label, period, value, unit, page, kind. Equal periods of a row: the last."""
-    key = ["task_id", "table_seq", "row_seq"]
-    last = Window.partitionBy(*key, "period").orderBy(F.desc("cell_index"))
-    once = cells.withColumn("rank", F.row_number().over(last)).where("rank = 1 and value is not null").drop("rank")
-    r = rows.select(*key, "item", "row_type", F.col("page").alias("row_page"))
-    t = tables.select("task_id", "table_seq", "name", "title", "unit", "page_start")
-    joined = once.join(r, key).join(t, ["task_id", "table_seq"])
-    return joined.select("task_id", F.struct("table_seq", "row_seq", "cell_index").alias("cand_seq"), F.col("name").alias("table"), normalize_text("item").alias("label"), normalize_text("period").alias("period"), "value", normalize_text("unit").alias("unit"), F.coalesce("row_page", "page_start").alias("page"), metric_kind("item", "period", "title").alias("metric_kind"))
+    from .structure import lines_of, unfolded
+
+    if t.nested is not None:
+        # Texts of tables and rows are normalised before they are unfolded to cells.
+        lines = lines_of(t.nested.withColumns({"unit": normalize_text("unit"), "title": normalize_text("title")})).withColumn("item", normalize_text("item"))
+        once = unfolded(lines).where("is_last and value is not null")
+    else:
+        key = ["task_id", "table_seq", "row_seq"]
+        last = Window.partitionBy(*key, "period").orderBy(F.desc("cell_index"))
+        cells = t.cells.withColumn("rank", F.row_number().over(last)).where("rank = 1 and value is not null").drop("rank")
+        r, h = t.rows.select(*key, normalize_text("item").alias("item"), "page"), t.tables.select("task_id", "table_seq", "name", normalize_text("title").alias("title"), normalize_text("unit").alias("unit"), "page_start")
+        once = cells.join(r, key).join(h, ["task_id", "table_seq"])
+    told = once.withColumn("period", normalize_text("period")).withColumn("words", F.lower(F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("item", "period", "title")])))
+    return told.select("task_id", F.struct("table_seq", "row_seq", "cell_index").alias("cand_seq"), F.col("name").alias("table"), F.col("item").alias("label"), "period", "value", "unit", F.coalesce("page", "page_start").alias("page"), kind_of(F.col("words")).alias("metric_kind"))
 
 
 def score(kind: Column, period: Column, page: Column, phrase: Column) -> Column:
@@ -61,7 +68,7 @@ def reference_tables(blocks: DataFrame, t):
     said = blocks.where("not is_table and not is_chart").select("*", F.posexplode(reference_mentions("block_text")).alias("m_pos", "m"))
     order = Window.partitionBy("task_id").orderBy("block_seq", "m_pos")
     mentions = said.select("task_id", F.row_number().over(order).alias("mention_id"), F.col("m.kind").alias("kind"), F.col("m.phrase").alias("phrase"), year_from_text("block_text").alias("year"), F.col("page_idx").alias("mention_page"), "bbox")
-    found = resolve(mentions, metric_candidates(t.tables, t.rows, t.cells)).join(mentions.select("task_id", "mention_id", "bbox"), ["task_id", "mention_id"])
+    found = resolve(mentions, metric_candidates(t)).join(mentions.select("task_id", "mention_id", "bbox"), ["task_id", "mention_id"])
     keyed = found.withColumn("table_seq", F.lit(0).cast("long")).withColumn("row_seq", (F.row_number().over(Window.partitionBy("task_id").orderBy("mention_id")) - 1).cast("int"))
     rows = keyed.select("task_id", "table_seq", "row_seq", F.col("m_phrase").alias("item"), F.lit("global_reference").alias("row_type"), F.array("label").alias("components"), F.col("m_page").alias("page"), "bbox")
     pairs = F.array(F.struct(F.lit("resolved_value").alias("period"), F.col("value").cast("string").alias("raw"), F.col("value").alias("value")), F.struct(F.lit("confidence").alias("period"), F.format_string("%.2f", F.col("confidence")).alias("raw"), F.col("confidence").alias("value")))
