@@ -251,7 +251,7 @@ SELECT l_orderkey AS task_id, 'Line ' || CAST(l_linenumber AS VARCHAR) AS item,
 """)
 def normalize_cells(spark, sf_dir):
     t = order_tables(spark, sf_dir)
-    return t.cells.join(t.rows.select("task_id", "table_seq", "row_seq", "item"), ["task_id", "table_seq", "row_seq"]).join(t.tables.select("task_id", "table_seq", "role"), ["task_id", "table_seq"]).select("task_id", "item", "period", "role", F.col("value").cast("long").alias("value"))
+    return structure.unfolded(structure.lines_of(structure.nested(t))).select("task_id", "item", "period", "role", F.col("value").cast("long").alias("value"))
 
 
 @query(f"""
@@ -260,7 +260,7 @@ SELECT l_orderkey AS task_id, 'order_lines' AS "table", 'Line ' || CAST(l_linenu
 """)
 def metric_candidates(spark, sf_dir):
     t = order_tables(spark, sf_dir)
-    return references.metric_candidates(t.tables, t.rows, t.cells).select("task_id", "table", "label", "period", F.col("value").cast("long").alias("value"), "unit", "page", "metric_kind")
+    return references.metric_candidates(t).select("task_id", "table", "label", "period", F.col("value").cast("long").alias("value"), "unit", "page", "metric_kind")
 
 
 @query(f"""

@@ -57,3 +57,11 @@ def test_quick_numbers(spark):
     df = spark.createDataFrame([(x,) for x in texts], "x string")
     same = df.where(~T.parse_number("x").eqNullSafe(T.parse_number(F.col("x"))) | (T.looks_numeric("x") != T.looks_numeric(F.col("x"))))
     assert same.count() == 0 and df.where(T.parse_number("x").isNull()).count() == 3
+
+
+def test_units_by_one_pattern(spark):
+    """Only units that the context names are cut, by a pattern that is the same for every row."""
+    rows = [("5万元", "元", "5万"), ("5 USD million", "usd", "5 million"), ("usdx 5 Usd", "USD", "usdx 5"), ("5百万元", "人民币百万元 百万元", "5"), ("5", "none", None), ("USD", "USD", None), ("5\x02usd", "USD", "5\x02")]
+    df = spark.createDataFrame(rows, "x string, u string, want string").withColumn("got", T.strip_context_unit("x", "u"))
+    assert [r.got for r in df.collect()] == [w for _, _, w in rows]
+    assert "(?siU)" in df._jdf.queryExecution().optimizedPlan().toString()
