@@ -119,15 +119,22 @@ def _lines(rows: Column) -> Column:
     """The rows of a variant (an array, or an object's values in the order of its keys) that are objects: array<struct<row_seq, item, row_type, components, own_page, raws>>."""
     given = F.coalesce(F.try_variant_get(rows, "$", "array<variant>"), F.map_values(F.try_variant_get(rows, "$", "map<string,variant>")))
 
+    names = ["label", "item", "name", "text", "row_type", "components", "page_idx", "values", "cells", "data"]
+
     def line(row: Column, at: Column) -> Column:
-        told = lambda k: let(_get(k, "string", row), lambda v: F.when(v.isNotNull(), let(normalize_text(v), lambda t: F.when(t != "", t))))
+        # One pass over the object's fields; null unless it is an object.
+        fields = F.try_variant_get(row, "$", f"struct<{','.join(f'{n}:variant' for n in names)}>")
+        return let(fields, lambda f: F.when(f.isNotNull(), line_of(f, at)))
+
+    def line_of(f: Column, at: Column) -> Column:
+        got = lambda k, kind: F.try_variant_get(f[k], "$", kind)
+        told = lambda k: F.when(f[k].isNotNull(), let(normalize_text(got(k, "string")), lambda t: F.when(t != "", t)))
         of = lambda otherwise, *ks: F.coalesce(*map(told, ks), F.lit(otherwise))
-        texts = lambda *ks: F.coalesce(*[_get(k, "array<string>", row) for k in ks], F.array().cast("array<string>"))
-        is_object = _get("label", "variant", row).isNotNull() | F.schema_of_variant(row).startswith("OBJECT")
-        return F.when(is_object, F.struct(
+        texts = lambda *ks: F.coalesce(*[F.when(f[k].isNotNull(), got(k, "array<string>")) for k in ks], F.array().cast("array<string>"))
+        return F.struct(
             at.alias("row_seq"), of("", "label", "item", "name", "text").alias("item"), of("line", "row_type").alias("row_type"),
-            F.transform(texts("components"), normalize_text).alias("components"), _get("page_idx", "int", row).alias("own_page"), texts("values", "cells", "data").alias("raws"),
-        ))
+            F.transform(texts("components"), normalize_text).alias("components"), got("page_idx", "int").alias("own_page"), texts("values", "cells", "data").alias("raws"),
+        )
 
     return F.array_compact(F.transform(given, line))
 
